@@ -1,0 +1,9 @@
+"""Registry of the library's queries and their SQL."""
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict:
+    return {}
