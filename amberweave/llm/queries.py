@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, minhash, packing, quality
+from . import bpe, embed_dedup, exact_dedup, minhash, packing, quality, substring
 
 
 def tokenizer(name: str) -> str:
@@ -42,6 +42,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(_read(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(_read(spark, sf_dir, "documents"), window=20).drop("kept_text")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_read(spark, sf_dir, "documents"), digest_all=True)
 
@@ -58,7 +66,7 @@ ORACLE = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_minhash_near_dedup, op4_bpe, op6_packing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_minhash_near_dedup, op4_bpe, op6_packing, op7_embedding_near_dedup, op8_substring_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
