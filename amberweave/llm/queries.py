@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, exact_dedup, minhash, packing, quality, substring
+from . import bpe, embed_dedup, exact_dedup, fuzzy_lines, minhash, packing, pii, quality, secrets, spans, substring
 
 
 def tokenizer(name: str) -> str:
@@ -33,11 +33,24 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = secrets.scan_versions(_read(spark, sf_dir, "documents"))
+    base = F.filter("findings", lambda s: s["kind"].isin(*secrets.BASE))
+    count = lambda kind: F.size(F.filter("findings", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, secrets.BASE), F.sha2(spans.joined(base), 256).alias("base_sha256"), spans.joined(F.col("findings")).alias("spans"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(_read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "decoded_sha256")
 
 
+def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = fuzzy_lines.drop_lines(docs, fuzzy_lines.duplicate_lines(docs))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -50,6 +63,12 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_passages(_read(spark, sf_dir, "documents"), window=20).drop("kept_text")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_read(spark, sf_dir, "documents"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(spans.joined(spans.tagged(pii.BASE, "kind")), 256).alias("base_sha256"), spans.joined(pii.all_spans()).alias("spans"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_read(spark, sf_dir, "documents"), digest_all=True)
 
@@ -66,7 +85,7 @@ ORACLE = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_minhash_near_dedup, op4_bpe, op6_packing, op7_embedding_near_dedup, op8_substring_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_minhash_near_dedup, op3_secret_scan, op4_bpe, op5_fuzzy_lines, op6_packing, op7_embedding_near_dedup, op8_substring_dedup, op9_pii, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
