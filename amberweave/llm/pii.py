@@ -151,17 +151,19 @@ class Boosted:
         return total
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple | list = ()) -> DataFrame:
     """Personal data in every text: base spans by kind, and spans the trees add.
 
     Returns one row per input row: doc_id, a column for each base kind (start, end, hit), ``added``
-    (kind, start, end) and, if asked for, text. Null texts count as empty; rows do not
+    (kind, start, end) and the columns asked for in ``keep`` (``text`` comes with them). Null texts count as empty; rows do not
     depend on ids, so null and repeated ids pass through. Spans are in code points, end exclusive. An
     added span that holds a base span whole gives way to it.
     """
     scratch = Scratch(docs.sparkSession, "pii")
-    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    wide = add_candidates(find_base(own)).select("doc_id", *(["text"] if keep_text else []), *BASE, "cands")
+    held = [F.col(c).alias(f"_keep_{k}") for k, c in enumerate(keep)]
+    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *held)
+    held = ["text", *(f"_keep_{k}" for k in range(len(keep)))] if keep else []
+    wide = add_candidates(find_base(own)).select("doc_id", *held, *BASE, "cands")
     wide = scratch.put(wide, "wide")
     cells = wide.select(F.explode("cands").alias("c")).groupBy("c.f").agg(F.sum("c.y").alias("pos"), F.count("*").alias("n")).collect()  # bounded by the bins
     x = np.array([r["f"] for r in cells], int).reshape(-1, len(FEATURES))
@@ -173,7 +175,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_t
         added = F.when(F.size("cands") > 0, added).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int>>"))
     else:
         added = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    return wide.select("doc_id", *(["text"] if keep_text else []), *BASE, added.alias("added"))
+    return wide.select("doc_id", *held, *BASE, added.alias("added"))
 
 
 def all_spans() -> Column:
@@ -181,18 +183,22 @@ def all_spans() -> Column:
     return F.concat(tagged(BASE, "kind"), F.array_sort("added"))
 
 
-def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Documents (doc_id, text) with every reported span replaced by its kind in brackets.
+def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: tuple | list = ()) -> DataFrame:
+    """The columns ``keep`` (or the id) and the text, with every reported span replaced by its kind in brackets.
 
-    Overlapping spans are replaced as one, under the kind of the one that begins first.
+    Overlapping spans are replaced as one, under the kind of the one that begins first. A null text
+    comes back empty.
     """
-    found = find(docs, id_col, text_col, keep_text=True).withColumn("all", F.array_sort(F.transform(all_spans(), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
+    keep = list(keep) or [id_col]
+    ordered = F.array_sort(F.transform(all_spans(), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    found = find(docs, id_col, text_col, keep).withColumn("_all", ordered)
 
     def step(state: Column, s: Column) -> Column:
         new = s["start"] >= state["at"]
-        piece = F.concat(state["out"], F.substring("text", state["at"] + 1, s["start"] - state["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        piece = F.concat(state["out"], F.substring(F.col("text"), state["at"] + 1, s["start"] - state["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(new, piece).otherwise(state["out"]).alias("out"))
 
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    end = lambda s: F.concat(s["out"], F.substring("text", s["at"] + 1, F.length("text")))
-    return found.select("doc_id", F.when(F.size("all") > 0, F.aggregate("all", zero, step, end)).otherwise(F.col("text")).alias("text"))
+    end = lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text")))
+    text = F.when(F.size("_all") > 0, F.aggregate("_all", zero, step, end)).otherwise(F.col("text"))
+    return found.select(*[F.col(f"_keep_{k}").alias(c) for k, c in enumerate(keep)], text.alias(text_col))
