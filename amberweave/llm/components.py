@@ -27,7 +27,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc", rounds: int
         before = check
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         tree = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = tree.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
@@ -39,42 +39,41 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc", rounds: int
     return e.select(F.col("a").alias("id"), F.col("b").alias("component_id")).unionByName(roots)
 
 
+def star_pairs(cands: DataFrame) -> DataFrame:
+    """(a, b): each member of a bucket (bucket, id) with the bucket's smallest id."""
+    lead = cands.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("bucket", "a")
+    return cands.join(lead, "bucket").where("id != a").select("a", F.col("id").alias("b")).distinct()
+
+
 def resolve(cands: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, spare: int = 20) -> DataFrame:
     """Components of the links hidden in candidate buckets, without emitting all pairs of a bucket.
 
-    ``cands`` has (bucket, id), distinct. Each round compares every member of a bucket
-    with the bucket's smallest id not yet compared (``verify`` keeps the pairs (a, b)
-    that are links), then joins the components found so far. Members already in one
-    component need no more comparing; once the comparisons left between different
-    components number at most ``spare`` times the ids, they are all made. So no pair of a
-    bucket that could join two components is left out, and a bucket of near copies of
-    one text costs as many pairs as it has members.
+    ``cands`` has (bucket, id), distinct and written. Each round compares the members of a bucket that are
+    not yet in one component with its leader, the bucket's smallest id not yet compared
+    (``verify`` keeps the pairs (a, b) that are links), then joins the components found so far. Once the
+    comparisons left between different components number at most ``spare`` times the rows, they are all
+    made. So no pair of a bucket that could join two components is left out, and a bucket of near
+    copies of one text costs as many pairs as it has members.
     """
-    stats = cands.groupBy("bucket").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    left = scratch.put(cands.join(stats, "bucket"), "left_0")
-    ids = left.select("id").distinct().count()
-    edges = scratch.put(verify(left.where("id > lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()), "edges_0")
-    left, k = left.where("n > 2 and id != lead").select("bucket", "id"), 0
+    edges = scratch.put(verify(star_pairs(cands)), "edges_0")
+    rows, left, k = cands.count(), cands, 0
     while True:
         k += 1
         found = scratch.put(components(edges, scratch, f"cc{k}"), f"found_{k}")
         named = left.join(found, "id", "left").select("bucket", "id", F.coalesce("component_id", "id").alias("c"))
-        # The component with the leader is the main one; strays are the members outside of it.
-        lead = named.groupBy("bucket").agg(F.min("id").alias("lead"), F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n"))
-        open_ = scratch.put(named.join(lead.where("low < high"), "bucket"), f"open_{k}")
-        heads = open_.where("id = lead").select("bucket", F.col("c").alias("main"))
-        marked = open_.join(heads, "bucket")
+        lead = named.groupBy("bucket").agg(F.min_by("c", "id").alias("main"), F.min("id").alias("lead"), F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n"))
+        marked = scratch.put(named.join(lead.where("low < high and n > 2"), "bucket"), f"open_{k}")
         work = marked.where("c != main").groupBy().agg(F.sum("n").alias("pairs")).first()[0] or 0
         if not work:
             return found
-        last = work <= spare * max(ids, 1000)
+        last = work <= spare * rows
         if last:
             stray = marked.where("c != main").select("bucket", F.col("id").alias("x"), F.col("c").alias("xc"))
-            pairs = marked.select("bucket", "id", "c").join(stray, "bucket").where("c != xc").select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
-        else:
-            pairs = marked.where("c != main").select(F.col("lead").alias("a"), F.col("id").alias("b"))
-        more = scratch.put(verify(pairs.distinct()), f"edges_{k}")
-        edges = edges.unionByName(more)
+            pairs = marked.select("bucket", "id", "c").join(stray, "bucket").where(F.col("c") != F.col("xc"))
+            pairs = pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
+        else:  # the leader was compared before; the next one takes its turn
+            left = marked.where("id != lead").select("bucket", "id")
+            pairs = star_pairs(left)
+        edges = edges.unionByName(scratch.put(verify(pairs.distinct()), f"edges_{k}"))
         if last:
             return components(edges, scratch, "cc_end")
-        left = open_.where("id != lead").select("bucket", "id")

@@ -20,13 +20,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions
-from .components import resolve
+from .common import Scratch, small
+from .components import components, star_pairs
 
 ROWS, BANDS, MANTISSA = 5, 32, 10
 REGISTERS = ROWS * BANDS
 #: Estimates within this many standard deviations under the threshold go on to be verified.
 SLACK = 5.0
+#: Bands of the first round. Documents from which the order of shingles is taken; any order gives the same links.
+FIRST_BANDS, ORDER_SAMPLE = 4, 5000
+#: Longs of parity bits that go with a shingle.
+PARITY = 8
 SIG = "doc_id long, n_shingles long, klass binary, regs binary, bands array<long>"
 
 
@@ -46,7 +50,7 @@ def _words() -> _Words:
 @functools.lru_cache(1)
 def _hashers() -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(20240229)
-    return r.integers(1, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 2**63, REGISTERS, dtype=np.uint64)
+    return r.integers(0, 2**31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1), r.integers(0, 2**32, REGISTERS, dtype=np.uint32)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -70,12 +74,13 @@ def shingles(text: bytes, size: int) -> np.ndarray:
 def registers(s: np.ndarray) -> np.ndarray:
     """Leading zeros and mantissa of the least hash per bucket, as uint16."""
     mul, add = _hashers()
-    least = np.full(REGISTERS, np.iinfo(np.uint64).max, np.uint64)
+    least = np.full(REGISTERS, np.iinfo(np.uint32).max, np.uint32)
+    short = (s ^ (s >> np.uint64(32))).astype(np.uint32)  # 32-bit products are vectorised
     for k in range(0, len(s), 256):
-        least = np.minimum(least, (s[k : k + 256, None] * mul + add).min(axis=0))
-    m, e = np.frexp(np.maximum(least, np.uint64(1)).astype(np.float64))
+        least = np.minimum(least, (short[k : k + 256, None] * mul + add).min(axis=0))
+    m, e = np.frexp(np.maximum(least, np.uint32(1)).astype(np.float64))
     bits = np.minimum(((m - 0.5) * 2 * 2**MANTISSA).astype(np.uint16), 2**MANTISSA - 1)
-    return (np.clip(64 - e, 0, 63).astype(np.uint16) << MANTISSA) | bits.astype(np.uint16)
+    return (np.clip(32 - e, 0, 63).astype(np.uint16) << MANTISSA) | bits.astype(np.uint16)
 
 
 def bands(regs: np.ndarray) -> np.ndarray:
@@ -115,6 +120,12 @@ def _signatures(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
         )
 
 
+def _holding(keys: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hit = np.isin(batch.column("bands").flatten().to_numpy(zero_copy_only=False), keys).reshape(-1, BANDS).any(axis=1)
+        yield batch.select(["doc_id"]).filter(pa.array(hit))
+
+
 def _near(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     low = threshold - SLACK * np.sqrt(threshold * (1 - threshold) / REGISTERS)
     for batch in batches:
@@ -145,6 +156,28 @@ def _confirm(size: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iter
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _rare_first(size: int, common: np.ndarray, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Prefix of each set in the order (not common, then hash): what two sets of the threshold must share one of.
+
+    Each row carries the set's parities: bit k tells whether an odd number of shingles fall on k. Two
+    sets differ in at least as many shingles as their parities differ in bits.
+    """
+    names = ["id", "n", "token", "at", *(f"p{k}" for k in range(PARITY))]
+    for batch in batches:
+        out = [[] for _ in names]
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+            s = shingles(text or b"", size)
+            k = np.minimum(np.searchsorted(common, s), max(len(common) - 1, 0))
+            known = common[k] == s if len(common) else np.zeros(len(s), bool)
+            parity = np.packbits(np.bincount((s >> np.uint64(20)) % np.uint64(64 * PARITY), minlength=64 * PARITY) & 1).view(np.int64)
+            keep = len(s) - -(-percent * len(s) // 100) + 1
+            first = s[np.argsort(known, kind="stable")][:keep].astype(np.int64)
+            cols = (np.full(keep, doc), np.full(keep, len(s)), first, np.arange(1, keep + 1), *(np.full(keep, p) for p in parity))
+            for col, v in zip(out, cols):
+                col.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.empty(0, np.int64), pa.int64()) for c in out], names=names)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Near-duplicate groups of documents by the Jaccard similarity of their word shingles.
 
@@ -178,8 +211,49 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         return full.mapInArrow(functools.partial(_confirm, shingle, percent), "a long, b long").distinct()
 
     verify.k = 0
-    cands = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id"))
-    found = resolve(cands, verify, scratch)
+    # A few bands find most links and gather large groups; the others then see components, not members.
+    first = reps.select(F.explode(F.slice("bands", 1, FIRST_BANDS)).alias("bucket"), F.col("doc_id").alias("id"))
+    edges = scratch.put(verify(star_pairs(first)), "edges_1")
+    found = scratch.put(components(edges, scratch, "cc1"), "found_1")
+
+    def strays(name: str) -> DataFrame:
+        """Members of buckets with several components, outside of the component of the bucket's least id."""
+        named = reps.join(found, reps.doc_id == found.id, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("c"), "bands")
+        named = named.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "c", F.explode("bands").alias("bucket"))
+        lead = named.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("id").alias("lead"), F.min_by("c", "id").alias("main"), F.min_by("n", "id").alias("lead_n")).where("low < high").drop("low", "high")
+        return scratch.put(named.join(lead, "bucket").where("c != main"), name)
+
+    share = percent / 100
+    apart = lambda x, y: F.least(x, y) >= share * F.greatest(x, y) - 1e-9
+    pairs = strays("strays_1").where(apart("n", "lead_n")).select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
+    edges = edges.unionByName(scratch.put(verify(pairs), "edges_2"))
+    found = scratch.put(components(edges, scratch, "cc2"), "found_2")
+    rest = strays("strays_2")
+    open_ = scratch.put(rest.select("bucket").distinct(), "open")
+    if open_.count():
+        # What is left may link to any member of its buckets. Shared rare shingles find those it can link to.
+        probes = rest.select("id").distinct()
+        if small(open_):
+            held = np.sort(np.array([r[0] for r in open_.collect()], np.int64))  # of checked size
+            members = reps.select("doc_id", "bands").mapInArrow(functools.partial(_holding, held), "doc_id long")
+        else:
+            members = reps.select("doc_id", F.explode("bands").alias("bucket")).join(open_, "bucket", "left_semi").select("doc_id").distinct()
+        texts = scratch.put(own.join(members, "doc_id", "left_semi"), "members")
+        sample = texts.orderBy(F.xxhash64("doc_id")).limit(ORDER_SAMPLE)
+        seen = [shingles(bytes(r["t"]), shingle) for r in sample.select(F.col("text").cast("binary").alias("t")).toLocalIterator()]
+        bits = [f"p{k}" for k in range(PARITY)]
+        tokens, count = np.unique(np.concatenate(seen), return_counts=True)
+        rare = texts.mapInArrow(functools.partial(_rare_first, shingle, tokens[count > 2], percent), "id long, n long, token long, at long, " + ", ".join(f"{b} long" for b in bits))
+        rare = scratch.put(rare.join(found, "id", "left").select("id", "n", "token", "at", *bits, F.coalesce("component_id", "id").alias("c")), "rare")
+        p = rare.join(probes, "id", "left_semi").select("token", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "at", "c", *bits)])
+        # Of two sets that reach the threshold, the tokens from the first shared one on must suffice for the overlap.
+        need = F.ceil(share / (1 + share) * (F.col("n") + F.col("n_")) - 1e-9)
+        can = (F.col("c") != F.col("c_")) & (1 + F.least(F.col("n") - F.col("at"), F.col("n_") - F.col("at_")) >= need) & apart("n", "n_")
+        differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}_"))) for b in bits[1:]), F.bit_count(F.col("p0").bitwiseXOR(F.col("p0_"))))
+        can = can & (differ * (1 + share) <= (F.col("n") + F.col("n_")) * (1 - share) + 1e-6)
+        pairs = rare.join(p, "token").where(can).select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
+        edges = edges.unionByName(scratch.put(verify(pairs), "edges_3"))
+        found = components(edges, scratch, "cc3")
     of_class = classes.join(found, classes.rep == found.id, "left").select("klass", F.coalesce("component_id", "rep").alias("c"))
     out = sig.select("doc_id", "n_shingles", "klass").join(of_class, "klass", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id"))
