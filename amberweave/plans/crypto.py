@@ -8,14 +8,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def keypair(spark: SparkSession) -> tuple[str, str]:
     """(public, private) keys as base64 of their standard encodings."""
     jvm = spark._jvm
     pair = jvm.java.security.KeyPairGenerator.getInstance("Ed25519").generateKeyPair()
-    enc = jvm.java.util.Base64.getEncoder()
-    return enc.encodeToString(pair.getPublic().getEncoded()), enc.encodeToString(pair.getPrivate().getEncoded())
+    enc, keys = jvm.java.util.Base64.getEncoder(), jvm.java.security.KeyFactory.getInstance("Ed25519")
+    spec = lambda key, kind: keys.getKeySpec(key, jvm.java.lang.Class.forName(f"java.security.spec.{kind}")).getEncoded()
+    return enc.encodeToString(spec(pair.getPublic(), "X509EncodedKeySpec")), enc.encodeToString(spec(pair.getPrivate(), "PKCS8EncodedKeySpec"))
 
 
 def sign(spark: SparkSession, text: str, private: str) -> str:
@@ -41,7 +43,7 @@ def verify(spark: SparkSession, text: str, signature: str, public: str) -> bool:
         raise
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def vector_id(vectors: pd.Series) -> pd.Series:
     """SHA-256 of the little-endian float32 bytes of each vector."""
     return vectors.map(lambda v: None if v is None else hashlib.sha256(np.asarray(v, "<f4").tobytes()).hexdigest())
