@@ -52,7 +52,7 @@ def tree(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """Books, volumes and shelves over the page vectors, with membership tables."""
     p = pages(spark, folder)
     b = h.books(p)
-    v = h.volumes(b, p)
+    v = h.volumes(b)
     s = h.shelves(v)
     return {
         "pages": p, "books": b, "volumes": v.withColumn("prototypes", F.array("prototype")), "shelves": s.withColumn("prototypes", F.array("prototype")),

@@ -23,8 +23,7 @@ def rank_pages(spark, d):
 
 @query(f"WITH {BOOKS}, {Q0} SELECT book_id AS id, round(list_cosine_similarity(mv, w), 6) AS score FROM books, q {TOP}")
 def rank_books(spark, d):
-    t = tree(spark, d)
-    return ranking.rank_books(t["books"], t["pages"], first_vector(spark, d), 10)
+    return ranking.rank_books(tree(spark, d)["books"], first_vector(spark, d), 10)
 
 
 @query(f"WITH {VOLUMES}, {Q0} SELECT volume_id AS id, round(list_cosine_similarity(prototype, w), 6) AS score FROM volumes, q {TOP}")

@@ -24,16 +24,19 @@ def rank_pages(pages: DataFrame, query: list[float], k: int, candidates: DataFra
     return pick(score(own, query, "page_id", "v"), k)
 
 
-def rank_books(books: DataFrame, pages: DataFrame, query: list[float], k: int) -> DataFrame:
-    """Books (book_id, medoid_page_id) by the vector of their medoid page."""
-    held = books.join(pages.select(F.col("page_id").alias("medoid_page_id"), "v"), "medoid_page_id")
-    return pick(score(held, query, "book_id", "v"), k)
+def rank_books(books: DataFrame, query: list[float], k: int) -> DataFrame:
+    """Books (book_id, medoid_v) by the vector of their medoid page."""
+    return pick(score(books, query, "book_id", "medoid_v"), k)
 
 
-def rank_by_prototype(table: DataFrame, query: list[float], k: int, ident: str, prototypes: str) -> DataFrame:
+def score_prototypes(table: DataFrame, query: list[float], ident: str, prototypes: str) -> DataFrame:
     """Volumes or shelves by their first prototype; those without one score 0."""
     first = F.coalesce(F.get(prototypes, F.lit(0)), F.array().cast("array<double>"))
-    return pick(score(table.select(ident, first.alias("p")), query, ident, "p"), k)
+    return score(table.select(ident, first.alias("p")), query, ident, "p")
+
+
+def rank_by_prototype(table: DataFrame, query: list[float], k: int, ident: str, prototypes: str) -> DataFrame:
+    return pick(score_prototypes(table, query, ident, prototypes), k)
 
 
 def beam_width(n: int) -> int:
@@ -52,11 +55,11 @@ def beam_route(shelves: DataFrame, volumes: DataFrame, books: DataFrame, pages:
         ranked = scored.withColumn("n", F.count("*").over(w)).withColumn("k", F.row_number().over(w.orderBy(F.desc("score"), "id")))
         return ranked.where(F.col("k") <= F.greatest(F.lit(2), F.ceil(F.col("n") / 2))).select("id")
 
-    s = half(rank_by_prototype(shelves, query, 1 << 30, "shelf_id", "prototypes"))
+    s = half(score_prototypes(shelves, query, "shelf_id", "prototypes"))
     v = shelf_volumes.join(s.select(F.col("id").alias("shelf_id")), "shelf_id").select("volume_id").distinct()
-    v = half(rank_by_prototype(volumes.join(v, "volume_id", "left_semi"), query, 1 << 30, "volume_id", "prototypes"))
+    v = half(score_prototypes(volumes.join(v, "volume_id", "left_semi"), query, "volume_id", "prototypes"))
     b = volume_books.join(v.select(F.col("id").alias("volume_id")), "volume_id").select("book_id").distinct()
-    b = half(rank_books(books.join(b, "book_id", "left_semi"), pages, query, 1 << 30))
+    b = half(score(books.join(b, "book_id", "left_semi"), query, "book_id", "medoid_v"))
     p = book_pages.join(b.select(F.col("id").alias("book_id")), "book_id").select(F.col("page_id").alias("id"))
     return rank_pages(pages, query, k, p)
 
