@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -39,28 +39,33 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc", rounds: int
     return e.select(F.col("a").alias("id"), F.col("b").alias("component_id")).unionByName(roots)
 
 
-def star_pairs(cands: DataFrame) -> DataFrame:
-    """(a, b): each member of a bucket (bucket, id) with the bucket's smallest id."""
-    lead = cands.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("bucket", "a")
-    return cands.join(lead, "bucket").where("id != a").select("a", F.col("id").alias("b")).distinct()
+def star_pairs(cands: DataFrame, near: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """(a, b): each member of a bucket (bucket, id) with the bucket's smallest id; ``near`` tells by tags what can be linked."""
+    tags = [F.min_by("tag", "id").alias("lead_tag")] if near else []
+    lead = cands.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("n"), *tags).where("n > 1").drop("n")
+    pairs = cands.join(lead, "bucket").where(F.col("id") != F.col("a"))
+    pairs = pairs.where(near(F.col("tag"), F.col("lead_tag"))) if near else pairs
+    return pairs.select("a", F.col("id").alias("b")).distinct()
 
 
-def resolve(cands: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, spare: int = 20) -> DataFrame:
+def resolve(cands: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, near: Callable[[Column, Column], Column], known: DataFrame | None = None, spare: int = 20) -> DataFrame:
     """Components of the links hidden in candidate buckets, without emitting all pairs of a bucket.
 
-    ``cands`` has (bucket, id), distinct and written. Each round compares the members of a bucket that are
-    not yet in one component with its leader, the bucket's smallest id not yet compared
-    (``verify`` keeps the pairs (a, b) that are links), then joins the components found so far. Once the
-    comparisons left between different components number at most ``spare`` times the rows, they are all
-    made. So no pair of a bucket that could join two components is left out, and a bucket of near
-    copies of one text costs as many pairs as it has members.
+    ``cands`` has (bucket, id, tag), distinct and written; no link joins ids whose tags are not ``near``;
+    ``known`` are links (a, b) found before. Each round compares the members of a bucket that are not yet
+    in one component with its leader, the bucket's smallest id not yet compared (``verify`` keeps
+    the pairs (a, b) that are links), then joins the components found so far. Once the comparisons left
+    between different components number at most ``spare`` times the rows, they are all made. So no pair
+    of a bucket that could join two components is left out, and a bucket of near copies of one text
+    costs as many pairs as it has members.
     """
-    edges = scratch.put(verify(star_pairs(cands)), "edges_0")
-    rows, left, k = cands.count(), cands, 0
+    edges = scratch.put(verify(star_pairs(cands, near)), "edges_0")
+    edges = edges if known is None else edges.unionByName(known)
+    rows, left, k = max(1000, cands.count()), cands, 0
     while True:
         k += 1
         found = scratch.put(components(edges, scratch, f"cc{k}"), f"found_{k}")
-        named = left.join(found, "id", "left").select("bucket", "id", F.coalesce("component_id", "id").alias("c"))
+        named = left.join(found, "id", "left").select("bucket", "id", "tag", F.coalesce("component_id", "id").alias("c"))
         lead = named.groupBy("bucket").agg(F.min_by("c", "id").alias("main"), F.min("id").alias("lead"), F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n"))
         marked = scratch.put(named.join(lead.where("low < high and n > 2"), "bucket"), f"open_{k}")
         work = marked.where("c != main").groupBy().agg(F.sum("n").alias("pairs")).first()[0] or 0
@@ -68,12 +73,12 @@ def resolve(cands: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch:
             return found
         last = work <= spare * rows
         if last:
-            stray = marked.where("c != main").select("bucket", F.col("id").alias("x"), F.col("c").alias("xc"))
-            pairs = marked.select("bucket", "id", "c").join(stray, "bucket").where(F.col("c") != F.col("xc"))
+            stray = marked.where("c != main").select("bucket", F.col("id").alias("x"), F.col("c").alias("xc"), F.col("tag").alias("xt"))
+            pairs = marked.select("bucket", "id", "c", "tag").join(stray, "bucket").where((F.col("c") != F.col("xc")) & near(F.col("tag"), F.col("xt")))
             pairs = pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
         else:  # the leader was compared before; the next one takes its turn
-            left = marked.where("id != lead").select("bucket", "id")
-            pairs = star_pairs(left)
+            left = marked.where("id != lead").select("bucket", "id", "tag")
+            pairs = star_pairs(left, near)
         edges = edges.unionByName(scratch.put(verify(pairs.distinct()), f"edges_{k}"))
         if last:
             return components(edges, scratch, "cc_end")

@@ -68,10 +68,10 @@ def test_components(spark):
 def test_resolve_finds_links_past_the_leader(spark):
     # All share a bucket; the leader links with none, others only with a neighbour of their own.
     ids = list(range(40))
-    cands = spark.createDataFrame([(1, i) for i in ids], "bucket long, id long")
-    for spare in (0, 1000):
+    cands = spark.createDataFrame([(1, i, i % 2) for i in ids], "bucket long, id long, tag long")
+    for spare in (0, 1000):  # tags: links join only numbers that are both odd or both even
         link = lambda p: p.where("b - a = 2 and a > 0")
-        got = components.resolve(cands, link, common.Scratch(spark, "t"), spare=spare)
+        got = components.resolve(cands, link, common.Scratch(spark, "t"), lambda x, y: x == y, spare=spare)
         assert {r["id"]: r["component_id"] for r in got.collect()} == union([(a, a + 2) for a in ids[1:-2]])
 
 
@@ -340,6 +340,51 @@ def test_fuzzy_lines(spark, odd, none):
     assert fuzzy_lines.duplicate_lines(none).count() == 0
 
 
+def word_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_fuzzy_lines_against_brute_force(spark, sf):
+    docs = documents(spark, sf).select("doc_id", "text")
+    rnd, extra = random.Random(4), []
+    for k, r in enumerate(docs.limit(80).collect()):  # near copies of long lines
+        w = r["text"].replace("\n", " ").split()
+        if len(w) > 100:
+            extra.append((5000 + 2 * k, " ".join(w)))
+            w[rnd.randrange(len(w))] = "changed"
+            extra.append((5001 + 2 * k, " ".join(w)))
+    docs = docs.unionByName(spark.createDataFrame(extra, DOCS))
+    lines = fuzzy_lines._lines(docs).select("doc_id", "line_no", "norm", F.xxhash64("norm").alias("k"), fuzzy_lines._features(F.transform(F.split("norm", " "), lambda w: F.xxhash64(w))).alias("h")).collect()
+    lines = [r for r in lines if len(r["norm"].split(" ")) >= 4]
+    sims, words = {}, {}
+    for r in lines:
+        if r["k"] not in sims:
+            votes = np.array(r["h"], np.int64).view(np.uint64)
+            ones = [((votes >> np.uint64(b)) & np.uint64(1)).sum() for b in range(64)]
+            sims[r["k"]], words[r["k"]] = sum(1 << b for b in range(64) if 2 * ones[b] > len(votes)), r["norm"].split(" ")
+    keys = list(sims)
+    bits = np.array([sims[k] for k in keys], np.uint64)
+    pairs = []
+    for i, k in enumerate(keys):
+        for j in np.nonzero(np.bitwise_count(bits[i + 1 :] ^ bits[i]) <= 3)[0]:
+            a, b = words[k], words[keys[i + 1 + j]]
+            if word_distance(a, b) <= max(len(a), len(b)) * 0.1 + 1e-9:
+                pairs.append((k, keys[i + 1 + j]))
+    root, first = union(pairs), {}
+    for r in lines:
+        g = root.get(r["k"], r["k"])
+        first[g] = min(first.get(g, (1 << 62, 0)), (r["doc_id"], r["line_no"]))
+    want = {(r["doc_id"], r["line_no"], *first[root.get(r["k"], r["k"])]) for r in lines}
+    got = {(r["doc_id"], r["line_no"], r["group_doc"], r["group_line"]) for r in fuzzy_lines.duplicate_lines(docs).collect()}
+    assert got == {w for w in want if w[:2] != w[2:]} and len(pairs) > 5
+
+
 # --- op7 --------------------------------------------------------------------------------------
 
 
