@@ -67,7 +67,7 @@ def test_components(spark):
 
 def test_resolve_finds_links_past_the_leader(spark):
     # All share a bucket; the leader links with none, others only with a neighbour of their own.
-    ids = list(range(40))
+    ids = list(range(8))
     cands = spark.createDataFrame([(1, i, i % 2) for i in ids], "bucket long, id long, tag long")
     for spare in (0, 1000):  # tags: links join only numbers that are both odd or both even
         link = lambda p: p.where("b - a = 2 and a > 0")
@@ -340,6 +340,11 @@ def test_fuzzy_lines(spark, odd, none):
     assert fuzzy_lines.duplicate_lines(none).count() == 0
 
 
+def test_votes_of_long_lines(spark):
+    df = spark.createDataFrame([(list(range(50_001)),)], "words array<long>")
+    assert df.select(F.size(fuzzy_lines._features(F.col("words"))).alias("n")).first()["n"] == fuzzy_lines.VOTES
+
+
 def word_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
