@@ -47,7 +47,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    out = fuzzy_lines.drop_lines(docs, fuzzy_lines.duplicate_lines(docs))
+    out = fuzzy_lines.drop_lines(docs, fuzzy_lines.duplicate_lines(docs, distance=None))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

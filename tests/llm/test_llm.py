@@ -390,6 +390,47 @@ def test_fuzzy_lines_against_brute_force(spark, sf):
     assert got == {w for w in want if w[:2] != w[2:]} and len(pairs) > 5
 
 
+def linked_lines(spark, docs, **options):
+    """Pairs of lines that share a group, as (doc_id, line_no)."""
+    groups = {}
+    for r in fuzzy_lines.duplicate_lines(docs, **options).collect():
+        groups.setdefault((r["group_doc"], r["group_line"]), {(r["group_doc"], r["group_line"])}).add((r["doc_id"], r["line_no"]))
+    return {(a, b) for g in groups.values() for a in g for b in g if a < b}
+
+
+def test_one_changed_word_is_found(spark):
+    rnd, rows = random.Random(11), []
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(2, 9)))
+    for k in range(200):
+        w = [word() for _ in range(rnd.randrange(10, 60))]
+        rows.append((2 * k, " ".join(w)))
+        at = rnd.randrange(len(w))
+        w[at] = w[at][:-1] + "z"
+        rows.append((2 * k + 1, " ".join(w)))
+    got = linked_lines(spark, spark.createDataFrame(rows, DOCS), distance=None)
+    want = {((2 * k, 0), (2 * k + 1, 0)) for k in range(200)}
+    assert not got - want and len(want & got) >= 198
+
+
+def test_lines_against_edit_similarity_alone(spark, sf):
+    docs = documents(spark, sf).select("doc_id", "text")
+    lines = {}
+    for r in fuzzy_lines._lines(docs.where("text is not null")).collect():
+        if len(r["norm"].split(" ")) >= 4:
+            lines.setdefault(r["norm"], (r["doc_id"], r["line_no"]))
+    texts, pairs = list(lines), []
+    words = [t.split(" ") for t in texts]
+    counts = [Counter(w) for w in words]
+    for i, a in enumerate(words):
+        for j in range(i + 1, len(words)):
+            b, most = words[j], max(len(a), len(words[j])) // 10
+            if abs(len(a) - len(b)) <= most and len(a) < 2000 and sum((counts[i] & counts[j]).values()) >= max(len(a), len(b)) - most and word_distance(a, b) <= most:
+                pairs.append((lines[texts[i]], lines[texts[j]]))
+    got = linked_lines(spark, docs, distance=None)
+    found = sum((min(p), max(p)) in got for p in pairs)
+    assert len(pairs) > 10 and found >= 0.97 * len(pairs), (found, len(pairs))
+
+
 # --- op7 --------------------------------------------------------------------------------------
 
 
