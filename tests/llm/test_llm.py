@@ -412,6 +412,23 @@ def test_one_changed_word_is_found(spark):
     assert not got - want and len(want & got) >= 198
 
 
+def test_all_pairs_of_long_lines_vote(spark):
+    rnd, rows = random.Random(12), []
+    for k, n in enumerate((16_500, 33_000)):
+        w = ["".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(n)]
+        rows.append((2 * k, " ".join(w)))
+        w.insert(rnd.randrange(n // 4), "inserted")
+        rows.append((2 * k + 1, " ".join(w)))
+    docs = spark.createDataFrame(rows, DOCS)
+    lines = fuzzy_lines._lines(docs).select("doc_id", "line_no", F.xxhash64("norm").alias("line"), F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)).alias("words"))
+    sims = {r["doc_id"]: r["sim"] for r in fuzzy_lines._voted(lines, common.Scratch(spark, "test")).collect()}
+    for r in lines.collect():
+        h = spark.createDataFrame([(a, b) for a, b in zip(r["words"], r["words"][1:])], "a long, b long").select(F.xxhash64("a", "b").alias("h")).toPandas()["h"].to_numpy().view(np.uint64)
+        want = sum(1 << b for b in range(64) if 2 * int(((h >> np.uint64(b)) & np.uint64(1)).sum()) > len(h))
+        assert sims[r["doc_id"]] % (1 << 64) == want
+    assert all(((sims[2 * k] ^ sims[2 * k + 1]) % (1 << 64)).bit_count() <= 3 for k in range(2))
+
+
 def test_lines_against_edit_similarity_alone(spark, sf):
     docs = documents(spark, sf).select("doc_id", "text")
     lines = {}
