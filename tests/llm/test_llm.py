@@ -412,6 +412,23 @@ def test_one_changed_word_is_found(spark):
     assert not got - want and len(want & got) >= 198
 
 
+def test_one_letter_in_short_lines(spark):
+    rnd, rows = random.Random(13), []
+    for k in range(60):
+        w = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(3, 9))) for _ in range(4 + k % 6)]
+        rows.append((3 * k, " ".join(w)))
+        at = rnd.randrange(len(w))
+        rows.append((3 * k + 1, " ".join([*w[:at], w[at][:-1] + "z", *w[at + 1 :]])))
+        rows.append((3 * k + 2, " ".join([*w[:at], "zzzzzzzzzz", *w[at + 1 :]])))
+    got = linked_lines(spark, spark.createDataFrame(rows, DOCS), distance=None)
+    text, want = dict(rows), set()
+    for k in range(60):
+        pairs = [(a, b) for a, b in ((3 * k, 3 * k + 1), (3 * k, 3 * k + 2), (3 * k + 1, 3 * k + 2)) if word_distance(text[a], text[b]) <= max(len(text[a]), len(text[b])) * 0.1 + 1e-9]
+        root = union(pairs)
+        want |= {((a, 0), (b, 0)) for a in root for b in root if a < b and root[a] == root[b]}
+    assert got == want and len(want) >= 60
+
+
 def test_all_pairs_of_long_lines_vote(spark):
     rnd, rows = random.Random(12), []
     for k, n in enumerate((16_500, 33_000)):
