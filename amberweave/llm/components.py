@@ -48,22 +48,24 @@ def star_pairs(cands: DataFrame, near: Callable[[Column, Column], Column] | None
     return pairs.select("a", F.col("id").alias("b")).distinct()
 
 
-def resolve(cands: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, near: Callable[[Column, Column], Column], known: DataFrame | None = None, spare: int = 20) -> DataFrame:
+def resolve(cands: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, near: Callable[[Column, Column], Column], more: DataFrame | None = None, spare: int = 20) -> DataFrame:
     """Components of the links hidden in candidate buckets, without emitting all pairs of a bucket.
 
     ``cands`` has (bucket, id, tag), distinct and written; no link joins ids whose tags are not ``near``;
-    ``known`` are links (a, b) found before. Each round compares the members of a bucket that are not yet
+    ``more`` are further pairs (a, b) to verify. Each round compares the members of a bucket that are not yet
     in one component with its leader, the bucket's smallest id not yet compared (``verify`` keeps
     the pairs (a, b) that are links), then joins the components found so far. Once the comparisons left
-    between different components number at most ``spare`` times the rows, they are all made. So no pair
+    between different components number at most ``spare`` times the rows, they are all made; ``spare`` is doubled
+    each round, so buckets of unrelated members take few rounds. So no pair
     of a bucket that could join two components is left out, and a bucket of near copies of one text
     costs as many pairs as it has members.
     """
-    edges = scratch.put(verify(star_pairs(cands, near)), "edges_0")
-    edges = edges if known is None else edges.unionByName(known)
+    pairs = star_pairs(cands, near)
+    edges = scratch.put(verify(pairs if more is None else pairs.unionByName(more)), "edges_0")
     rows, left, k = max(1000, cands.count()), cands, 0
     while True:
         k += 1
+        # Components stand for all links before, so what is carried from round to round stays small.
         found = scratch.put(components(edges, scratch, f"cc{k}"), f"found_{k}")
         named = left.join(found, "id", "left").select("bucket", "id", "tag", F.coalesce("component_id", "id").alias("c"))
         lead = named.groupBy("bucket").agg(F.min_by("c", "id").alias("main"), F.min("id").alias("lead"), F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n"))
@@ -73,12 +75,16 @@ def resolve(cands: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch:
             return found
         last = work <= spare * rows
         if last:
-            stray = marked.where("c != main").select("bucket", F.col("id").alias("x"), F.col("c").alias("xc"), F.col("tag").alias("xt"))
-            pairs = marked.select("bucket", "id", "c", "tag").join(stray, "bucket").where((F.col("c") != F.col("xc")) & near(F.col("tag"), F.col("xt")))
+            stray = marked.where("c != main").select(F.col("bucket").alias("xb"), F.col("id").alias("x"), F.col("c").alias("xc"), F.col("tag").alias("xt"))
+            pairs = marked.select("bucket", "id", "c", "tag").join(stray, (F.col("bucket") == F.col("xb")) & (F.col("c") != F.col("xc")) & near(F.col("tag"), F.col("xt")))
             pairs = pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
         else:  # the leader was compared before; the next one takes its turn
             left = marked.where("id != lead").select("bucket", "id", "tag")
             pairs = star_pairs(left, near)
-        edges = edges.unionByName(scratch.put(verify(pairs.distinct()), f"edges_{k}"))
+        fresh = scratch.put(verify(pairs.distinct()), f"edges_{k}")
+        if last and not fresh.take(1):
+            return found
+        edges = found.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(fresh)
         if last:
-            return components(edges, scratch, "cc_end")
+            return scratch.put(components(edges, scratch, "cc_end"), "found_end")
+        spare *= 2

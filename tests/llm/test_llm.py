@@ -340,11 +340,6 @@ def test_fuzzy_lines(spark, odd, none):
     assert fuzzy_lines.duplicate_lines(none).count() == 0
 
 
-def test_votes_of_long_lines(spark):
-    df = spark.createDataFrame([(list(range(50_001)),)], "words array<long>")
-    assert df.select(F.size(fuzzy_lines._features(F.col("words"))).alias("n")).first()["n"] == fuzzy_lines.VOTES
-
-
 def word_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -355,39 +350,77 @@ def word_distance(a, b):
     return row[-1]
 
 
+def char_distance(a, b):
+    """Edit distance in characters by bit-parallel columns."""
+    if not a or not b:
+        return len(a) or len(b)
+    at, full, top = {}, (1 << len(a)) - 1, 1 << (len(a) - 1)
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    up, down, d = full, 0, len(a)
+    for c in b:
+        eq = at.get(c, 0)
+        x = eq | down
+        y = (((eq & up) + up) ^ up) | eq
+        inc, dec = (down | ~(y | up)) & full, up & y
+        d += bool(inc & top) - bool(dec & top)
+        inc, dec = (inc << 1 | 1) & full, (dec << 1) & full
+        up, down = (dec | ~(x | inc)) & full, inc & x
+    return d
+
+
+def near_lines(a, b):
+    most = int(max(len(a), len(b)) * 0.1 + 1e-9)
+    return abs(len(a) - len(b)) <= most and char_distance(a, b) <= most
+
+
+def test_char_distance():
+    rnd = random.Random(3)
+    for _ in range(300):
+        a, b = ("".join(rnd.choice("abc ") for _ in range(rnd.randrange(12))) for _ in range(2))
+        assert char_distance(a, b) == word_distance(a, b)
+
+
 def test_fuzzy_lines_against_brute_force(spark, sf):
+    """Edit similarity over all pairs of lines, near copies of a tenth of the words changed among them."""
     docs = documents(spark, sf).select("doc_id", "text")
     rnd, extra = random.Random(4), []
-    for k, r in enumerate(docs.limit(80).collect()):  # near copies of long lines
-        w = r["text"].replace("\n", " ").split()
-        if len(w) > 100:
-            extra.append((5000 + 2 * k, " ".join(w)))
-            w[rnd.randrange(len(w))] = "changed"
-            extra.append((5001 + 2 * k, " ".join(w)))
+    vocabulary = sorted({w for r in docs.collect() for w in (r["text"] or "").split()})
+    for k, r in enumerate(docs.limit(80).collect()):
+        w = r["text"].replace("\n", " ").split()[: rnd.randrange(12, 200)]
+        extra.append((5000 + 2 * k, " ".join(w)))
+        for at in rnd.sample(range(len(w)), len(w) // 10):
+            w[at] = rnd.choice(vocabulary)
+        extra.append((5001 + 2 * k, " ".join(w)))
     docs = docs.unionByName(spark.createDataFrame(extra, DOCS))
-    lines = fuzzy_lines._lines(docs).select("doc_id", "line_no", "norm", F.xxhash64("norm").alias("k"), fuzzy_lines._features(F.transform(F.split("norm", " "), lambda w: F.xxhash64(w))).alias("h")).collect()
-    lines = [r for r in lines if len(r["norm"].split(" ")) >= 4]
-    sims, words = {}, {}
-    for r in lines:
-        if r["k"] not in sims:
-            votes = np.array(r["h"], np.int64).view(np.uint64)
-            ones = [((votes >> np.uint64(b)) & np.uint64(1)).sum() for b in range(64)]
-            sims[r["k"]], words[r["k"]] = sum(1 << b for b in range(64) if 2 * ones[b] > len(votes)), r["norm"].split(" ")
-    keys = list(sims)
-    bits = np.array([sims[k] for k in keys], np.uint64)
-    pairs = []
-    for i, k in enumerate(keys):
-        for j in np.nonzero(np.bitwise_count(bits[i + 1 :] ^ bits[i]) <= 3)[0]:
-            a, b = words[k], words[keys[i + 1 + j]]
-            if word_distance(a, b) <= max(len(a), len(b)) * 0.1 + 1e-9:
-                pairs.append((k, keys[i + 1 + j]))
-    root, first = union(pairs), {}
-    for r in lines:
-        g = root.get(r["k"], r["k"])
-        first[g] = min(first.get(g, (1 << 62, 0)), (r["doc_id"], r["line_no"]))
-    want = {(r["doc_id"], r["line_no"], *first[root.get(r["k"], r["k"])]) for r in lines}
-    got = {(r["doc_id"], r["line_no"], r["group_doc"], r["group_line"]) for r in fuzzy_lines.duplicate_lines(docs).collect()}
-    assert got == {w for w in want if w[:2] != w[2:]} and len(pairs) > 5
+    places = {}
+    for r in fuzzy_lines._lines(docs).collect():
+        if len(r["norm"].split(" ")) >= 4:
+            places.setdefault(r["norm"], []).append((r["doc_id"], r["line_no"]))
+    texts = [t for t in places if len(t) <= 2000]
+    counts = [Counter(t) for t in texts]
+    pairs = set()
+    for i, a in enumerate(texts):
+        for j in range(i + 1, len(texts)):
+            b = texts[j]
+            most = max(len(a), len(b)) * 0.1 + 1e-9
+            # An edit changes the letter counts by two at most.
+            if abs(len(a) - len(b)) <= most and (counts[i] - counts[j]).total() <= most and (counts[j] - counts[i]).total() <= most and near_lines(a, b):
+                pairs.add((a, b))
+    text = {p: t for t, ps in places.items() for p in ps}
+    group, out = {}, fuzzy_lines.duplicate_lines(docs).collect()
+    for r in out:
+        group[r["doc_id"], r["line_no"]] = group[r["group_doc"], r["group_line"]] = r["group_doc"], r["group_line"]
+    g = {t: group.get(ps[0], ps[0]) for t, ps in places.items()}
+    assert all(group.get(p, p) == g[t] for t, ps in places.items() for p in ps)  # equal lines are in one group
+    found = sum(g[a] == g[b] for a, b in pairs)
+    assert len(pairs) >= 60 and found >= 0.97 * len(pairs), (found, len(pairs))
+    root = union(pairs)
+    for t, at in g.items():  # no group joins what edit similarity does not; its first line stays
+        if len(t) <= 2000 and len(text[at]) <= 2000:
+            assert root.get(t, t) == root.get(text[at], text[at])
+            assert at <= min(places[t])
+    assert sum(min(ps) != g[t] for t, ps in places.items()) + sum(len(ps) - 1 for ps in places.values()) == len(out)
 
 
 def linked_lines(spark, docs, **options):
@@ -407,7 +440,7 @@ def test_one_changed_word_is_found(spark):
         at = rnd.randrange(len(w))
         w[at] = w[at][:-1] + "z"
         rows.append((2 * k + 1, " ".join(w)))
-    got = linked_lines(spark, spark.createDataFrame(rows, DOCS), distance=None)
+    got = linked_lines(spark, spark.createDataFrame(rows, DOCS))
     want = {((2 * k, 0), (2 * k + 1, 0)) for k in range(200)}
     assert not got - want and len(want & got) >= 198
 
@@ -420,7 +453,7 @@ def test_one_letter_in_short_lines(spark):
         at = rnd.randrange(len(w))
         rows.append((3 * k + 1, " ".join([*w[:at], w[at][:-1] + "z", *w[at + 1 :]])))
         rows.append((3 * k + 2, " ".join([*w[:at], "zzzzzzzzzz", *w[at + 1 :]])))
-    got = linked_lines(spark, spark.createDataFrame(rows, DOCS), distance=None)
+    got = linked_lines(spark, spark.createDataFrame(rows, DOCS))
     text, want = dict(rows), set()
     for k in range(60):
         pairs = [(a, b) for a, b in ((3 * k, 3 * k + 1), (3 * k, 3 * k + 2), (3 * k + 1, 3 * k + 2)) if word_distance(text[a], text[b]) <= max(len(text[a]), len(text[b])) * 0.1 + 1e-9]
@@ -429,21 +462,37 @@ def test_one_letter_in_short_lines(spark):
     assert got == want and len(want) >= 60
 
 
-def test_all_pairs_of_long_lines_vote(spark):
+def test_all_words_of_long_lines_vote(spark):
     rnd, rows = random.Random(12), []
-    for k, n in enumerate((16_500, 33_000)):
+    for k, n in enumerate((9, 16_000, 16_500, 33_000)):
         w = ["".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(n)]
-        rows.append((2 * k, " ".join(w)))
+        rows.append((2 * k, n, " ".join(w)))
         w.insert(rnd.randrange(n // 4), "inserted")
-        rows.append((2 * k + 1, " ".join(w)))
-    docs = spark.createDataFrame(rows, DOCS)
-    lines = fuzzy_lines._lines(docs).select("doc_id", "line_no", F.xxhash64("norm").alias("line"), F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)).alias("words"))
-    sims = {r["doc_id"]: r["sim"] for r in fuzzy_lines._voted(lines, common.Scratch(spark, "test")).collect()}
-    for r in lines.collect():
-        h = spark.createDataFrame([(a, b) for a, b in zip(r["words"], r["words"][1:])], "a long, b long").select(F.xxhash64("a", "b").alias("h")).toPandas()["h"].to_numpy().view(np.uint64)
-        want = sum(1 << b for b in range(64) if 2 * int(((h >> np.uint64(b)) & np.uint64(1)).sum()) > len(h))
-        assert sims[r["doc_id"]] % (1 << 64) == want
-    assert all(((sims[2 * k] ^ sims[2 * k + 1]) % (1 << 64)).bit_count() <= 3 for k in range(2))
+        rows.append((2 * k + 1, n + 1, " ".join(w)))
+    lines = spark.createDataFrame(rows, "line long, n int, norm string")
+    sims = {r["line"]: r["sim"] for r in fuzzy_lines.simhashes(lines, common.Scratch(spark, "test")).collect()}
+    for k, n, norm in rows:
+        h = spark.createDataFrame([(w,) for w in norm.split(" ")], "w string").select(F.xxhash64("w").alias("h")).toPandas()["h"].to_numpy().view(np.uint64)
+        want = sum(1 << b for b in range(64) if 2 * int(((h >> np.uint64(b)) & np.uint64(1)).sum()) > n)
+        assert sims[k] % (1 << 64) == want
+    docs = spark.createDataFrame([(k, t) for k, _, t in rows], DOCS)
+    got = linked_lines(spark, docs)
+    assert got >= {((2 * k, 0), (2 * k + 1, 0)) for k in range(1, 4)}  # and the first pair is of nine and ten words
+
+
+def test_drop_lines_columns(spark):
+    """Columns named as the operator's own or as its inputs, a null id, a long document, a repeated one."""
+    names = ("gone", "n_lines", "n_dropped", "drop_doc", "line_no", "own", "_gone", "_drop_doc")
+    line = "a line of many words that is here again {}"
+    long = "\n".join(line.format("abcdefghij"[k % 10] * 5 + str(k) * 40) for k in range(20_000))
+    docs = spark.createDataFrame([(1, "x\n" + line), (2, line + "\ny"), (2, line + "\ny"), (3, None), (None, line), (4, long), (5, "")], DOCS).withColumns({c: F.lit(c) for c in names})
+    out = fuzzy_lines.drop_lines(docs, fuzzy_lines.duplicate_lines(docs), counts=("a", "b"))
+    assert out.columns == [*docs.columns, "a", "b"]
+    rows = out.collect()
+    assert sorted((r["doc_id"], r["text"], r["a"], r["b"]) for r in rows if r["doc_id"] in (1, 2, 5)) == [(1, "x\n" + line, 2, 0), (2, "y", 2, 1), (2, "y", 2, 1), (5, "", 1, 0)]
+    assert next((r["text"], r["a"]) for r in rows if r["doc_id"] == 3) == (None, 0) and next(r["text"] for r in rows if r["doc_id"] is None) == line
+    assert all(r[c] == c for r in rows for c in names)
+    assert fuzzy_lines.drop_lines(docs, fuzzy_lines.duplicate_lines(docs)).columns == [c for c in docs.columns if c not in ("n_lines", "n_dropped")] + ["n_lines", "n_dropped"]
 
 
 def test_lines_against_edit_similarity_alone(spark, sf):
@@ -460,7 +509,7 @@ def test_lines_against_edit_similarity_alone(spark, sf):
             b, most = words[j], max(len(a), len(words[j])) // 10
             if abs(len(a) - len(b)) <= most and len(a) < 2000 and sum((counts[i] & counts[j]).values()) >= max(len(a), len(b)) - most and word_distance(a, b) <= most:
                 pairs.append((lines[texts[i]], lines[texts[j]]))
-    got = linked_lines(spark, docs, distance=None)
+    got = linked_lines(spark, docs)
     found = sum((min(p), max(p)) in got for p in pairs)
     assert len(pairs) > 10 and found >= 0.97 * len(pairs), (found, len(pairs))
 
