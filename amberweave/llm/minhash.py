@@ -20,15 +20,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small
+from .common import Scratch, lookup
 from .components import components, star_pairs
 
 ROWS, BANDS, MANTISSA = 5, 32, 10
 REGISTERS = ROWS * BANDS
 #: Estimates within this many standard deviations under the threshold go on to be verified.
 SLACK = 5.0
-#: Bands of the first round. Documents from which the order of shingles is taken; any order gives the same links.
-FIRST_BANDS, ORDER_SAMPLE = 4, 5000
+#: Bands of the first round. Documents from which the order of shingles is taken, and how many common ones go last;
+#: any order gives the same links.
+FIRST_BANDS, ORDER_SAMPLE, COMMON = 4, 5000, 100_000
 #: Longs of parity bits that go with a shingle.
 PARITY = 8
 SIG = "doc_id long, n_shingles long, klass binary, regs binary, bands array<long>"
@@ -120,10 +121,10 @@ def _signatures(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
         )
 
 
-def _holding(keys: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tokens(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hit = np.isin(batch.column("bands").flatten().to_numpy(zero_copy_only=False), keys).reshape(-1, BANDS).any(axis=1)
-        yield batch.select(["doc_id"]).filter(pa.array(hit))
+        for text in batch.column(0).cast(pa.binary()).to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(shingles(text or b"", size).astype(np.int64))], names=["token"])
 
 
 def _near(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,24 +227,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     share = percent / 100
     apart = lambda x, y: F.least(x, y) >= share * F.greatest(x, y) - 1e-9
     pairs = strays("strays_1").where(apart("n", "lead_n")).select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
-    edges = edges.unionByName(scratch.put(verify(pairs), "edges_2"))
+    # Components stand for all links before them.
+    linked = lambda found: found.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
+    edges = linked(found).unionByName(scratch.put(verify(pairs), "edges_2"))
     found = scratch.put(components(edges, scratch, "cc2"), "found_2")
     rest = strays("strays_2")
     open_ = scratch.put(rest.select("bucket").distinct(), "open")
     if open_.count():
         # What is left may link to any member of its buckets. Shared rare shingles find those it can link to.
         probes = rest.select("id").distinct()
-        if small(open_):
-            held = np.sort(np.array([r[0] for r in open_.collect()], np.int64))  # of checked size
-            members = reps.select("doc_id", "bands").mapInArrow(functools.partial(_holding, held), "doc_id long")
-        else:
-            members = reps.select("doc_id", F.explode("bands").alias("bucket")).join(open_, "bucket", "left_semi").select("doc_id").distinct()
+        members = reps.select("doc_id", F.explode("bands").alias("bucket")).join(lookup(open_), "bucket", "left_semi").select("doc_id").distinct()
         texts = scratch.put(own.join(members, "doc_id", "left_semi"), "members")
-        sample = texts.orderBy(F.xxhash64("doc_id")).limit(ORDER_SAMPLE)
-        seen = [shingles(bytes(r["t"]), shingle) for r in sample.select(F.col("text").cast("binary").alias("t")).toLocalIterator()]
+        # Shingles that a sample holds more than twice go last. Any order gives the same links.
+        sample = scratch.put(texts.select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(ORDER_SAMPLE), "sample")
+        tokens = texts.join(F.broadcast(sample), "doc_id", "left_semi").select("text").mapInArrow(functools.partial(_tokens, shingle), "token long")
+        tokens = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "token").limit(COMMON)
+        common = np.sort(np.array([r[0] for r in tokens.select("token").collect()], np.int64).view(np.uint64))
         bits = [f"p{k}" for k in range(PARITY)]
-        tokens, count = np.unique(np.concatenate(seen), return_counts=True)
-        rare = texts.mapInArrow(functools.partial(_rare_first, shingle, tokens[count > 2], percent), "id long, n long, token long, at long, " + ", ".join(f"{b} long" for b in bits))
+        rare = texts.mapInArrow(functools.partial(_rare_first, shingle, common, percent), "id long, n long, token long, at long, " + ", ".join(f"{b} long" for b in bits))
         rare = scratch.put(rare.join(found, "id", "left").select("id", "n", "token", "at", *bits, F.coalesce("component_id", "id").alias("c")), "rare")
         p = rare.join(probes, "id", "left_semi").select("token", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "at", "c", *bits)])
         # Of two sets that reach the threshold, the tokens from the first shared one on must suffice for the overlap.
@@ -252,7 +253,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}_"))) for b in bits[1:]), F.bit_count(F.col("p0").bitwiseXOR(F.col("p0_"))))
         can = can & (differ * (1 + share) <= (F.col("n") + F.col("n_")) * (1 - share) + 1e-6)
         pairs = rare.join(p, "token").where(can).select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
-        edges = edges.unionByName(scratch.put(verify(pairs), "edges_3"))
+        edges = linked(found).unionByName(scratch.put(verify(pairs), "edges_3"))
         found = components(edges, scratch, "cc3")
     of_class = classes.join(found, classes.rep == found.id, "left").select("klass", F.coalesce("component_id", "rep").alias("c"))
     out = sig.select("doc_id", "n_shingles", "klass").join(of_class, "klass", "left")
