@@ -14,13 +14,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster, or a folder of our own where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder of the cluster; where none is set and all runs on this machine, a folder of our own."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        held = spark.sparkContext.getCheckpointDir()
-        root = held or "file://" + tempfile.mkdtemp(prefix="amberweave-")
-        if not held:
-            spark.sparkContext.setCheckpointDir(root)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="amberweave-")
+        spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
@@ -32,8 +32,6 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-        # Text rows can be long: keep Arrow batches small.
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
         self._path(self.base)[1].deleteOnExit(self._path(self.base)[0])
 
     def _path(self, at: str):

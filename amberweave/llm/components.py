@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -16,25 +16,30 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc", rounds: int
     ``edges`` has columns a, b (ids, any order, repeats allowed; null and self links
     are ignored). Returns (id, component_id) for nodes with at least one link. Hubs
     are met by aggregates with map-side combining and by joins AQE can split; nothing
-    is gathered on the driver but a count and a checksum per round.
+    is gathered on the driver but a count and a checksum per round. Rounds grow with the logarithm of the longest
+    chain of links; more than ``rounds`` of them are an error, never a partial result.
     """
-    e = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e, before = scratch.put(e, f"{name}_0"), None
-    for k in range(1, rounds + 1):
-        check = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if check == before or not check[0]:
-            break
-        before = check
+    # Counted while written: links settle when a round leaves their count and checksum as they were.
+    checksum = [F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")]
+
+    def put(df: DataFrame, k: int) -> tuple[DataFrame, dict]:
+        seen = Observation()
+        return scratch.put(df.observe(seen, *checksum), f"{name}_{k}"), seen.get
+
+    e, now = put(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), 0)
+    before, k = None, 0
+    while now["n"] and now != before:
+        before, k = now, k + 1
+        if k > rounds:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         tree = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = tree.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        e = scratch.put(after, f"{name}_{k}")
+        e, now = put(after, k)
         scratch.free(f"{name}_{k - 1}")
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = e.select(F.col("b").alias("id")).distinct().withColumn("component_id", F.col("id"))
     return e.select(F.col("a").alias("id"), F.col("b").alias("component_id")).unionByName(roots)
 
