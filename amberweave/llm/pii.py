@@ -2,18 +2,22 @@
 
 Base rules (e-mail, address, card, phone) always report. Beside them, generators of high recall
 propose overlapping spans; boosted trees over format and context score them, and those over
-a threshold calibrated for precision are reported too. Candidates are counted by their binned
-features over the whole corpus, so the trees are fitted on the driver from a table
-whose size is bounded by the bins. Scoring is a Catalyst expression. DataFrame functions only.
+their kind's threshold are reported too. The trees learn from made-up identifiers and look-alikes
+(pii_samples), counted by their binned features, so they are fitted on the driver from a table whose size is
+bounded by the bins; thresholds are set on the half they were not fitted on. Scoring is a Catalyst
+expression. DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch
+from .pii_samples import luhn_sum, mod97, samples
 from .spans import add_matches, tagged
 
 #: The base rules.
@@ -22,15 +26,20 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BASE = ["email", "ip", "card", "phone"]
-#: The generators. They overlap each other and the base rules on purpose.
-NUMBER = r"\+?(?<![0-9])[0-9](?:[\x20().-]{0,2}[0-9]){6,24}+"
-CODE = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+(?![A-Za-z0-9])"
-SPELLED = r"[A-Za-z0-9._%+-]{1,64}\x20?(?:\[at\]|\(at\))\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?(?:\[dot\]|\(dot\))\x20?)[A-Za-z0-9-]{1,63}){1,8}+"
+#: The generators. They overlap each other and the base rules on purpose. CODE has the form of account
+#: numbers: two letters, two digits and 11 to 30 more, in one run or in fours.
+NUMBER = r"\+?\(?(?<![0-9])[0-9](?:[\x20().-]{0,3}[0-9]){6,}+"
+CODE = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])"
+SPELLED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\[at\]|\(at\))\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?(?:\[dot\]|\(dot\))\x20?)[A-Za-z0-9-]++)*+"
 GENERATORS = ["number", "code", "spelled"]
 #: Words before a span that speak for a kind of it.
-CONTEXT = ["(?i:phone|tel|call|fax|mobile)", "(?i:card|visa|credit)", "(?i:ssn|social|passport|tax|iban|account)", "(?i:mail|contact|write)"]
-FEATURES = ["kind", "digits", "marks", "luhn", "before", "after", "context", "plus", "groups"]
-CONTEXT_CHARS = 24
+CONTEXT = ["(?i:phone|tel|call|fax|mobile)", "(?i:card|visa|credit|paid)", "(?i:ssn|social|passport|tax|iban|account)", "(?i:mail|contact|write|reach)"]
+#: Forms of numbers. Security numbers that are given out, their form, phones, fours.
+SSN = "^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"
+FORMS = [SSN, "^[0-9]{3}-[0-9]{2}-[0-9]{4}$", "^\\([0-9]{3}\\)\\x20?[0-9]{3}-[0-9]{4}$|^[2-9][0-9]{2}([.\\x20-])[0-9]{3}\\1[0-9]{4}$", "^[0-9]{4}([\\x20.-]{1,3})[0-9]{4}\\1[0-9]{4}\\1[0-9]{4}$", "^[0-9]{7,11}$"]
+FEATURES = ["kind", "digits", "marks", "fits", "form", "ends", "before", "after", "context", "plus"]
+#: Characters before a span in which context words are looked for, and labelled samples the trees learn from.
+CONTEXT_CHARS, SAMPLES = 24, 24_000
 
 
 def digits_of(hit: Column) -> Column:
@@ -39,13 +48,7 @@ def digits_of(hit: Column) -> Column:
 
 def luhn(d: Column) -> Column:
     """Whether a string of digits passes the Luhn check."""
-
-    def add(total: Column, i: Column) -> Column:
-        v = d.substr(F.length(d) - i + 1, F.lit(1)).cast("int")
-        w = F.when(i % 2 == 0, 2 * v - F.when(v > 4, 9).otherwise(0)).otherwise(v)
-        return total + w
-
-    return F.aggregate(F.sequence(F.lit(1), F.length(d)), F.lit(0), add) % 10 == 0
+    return luhn_sum(d) % 10 == 0
 
 
 def _ip_ok(hit: Column) -> Column:
@@ -73,7 +76,7 @@ def _bin(value: Column, cuts: list[int]) -> Column:
 
 
 def add_candidates(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``cands``: proposed spans with their binned features and whether a base span lies inside (weak label)."""
+    """Add ``cands``: proposed spans (kind, start, end) with their binned features f."""
     has = lambda s: F.contains(F.col(text), F.lit(s))
     df = add_matches(df, text, "number", NUMBER)
     df = add_matches(df, text, "code", CODE)
@@ -81,20 +84,22 @@ def add_candidates(df: DataFrame, text: str = "text") -> DataFrame:
 
     def proposed(k: int, name: str) -> Column:
         def item(s: Column) -> Column:
-            d = digits_of(s["hit"])
-            n = F.length(F.regexp_replace(s["hit"], "[^0-9]", ""))
+            hit = s["hit"]
+            d, n = digits_of(hit), F.length(F.regexp_replace(hit, "[^0-9]", ""))
             lead = F.when(s["start"] > 0, F.substring(F.col(text), s["start"], F.lit(1))).otherwise("")
             tail = F.substring(F.col(text), s["end"] + 1, F.lit(1))
             near = F.substring(F.col(text), F.greatest(F.lit(1), s["start"] + 1 - CONTEXT_CHARS), F.least(F.lit(CONTEXT_CHARS), s["start"]))
             side = lambda c: F.when(c.rlike("[A-Za-z0-9]"), 2).when(c.rlike("[\\s]") | (c == ""), 0).otherwise(1)
-            word = F.lit(0)
-            for j, p in reversed(list(enumerate(CONTEXT))):
-                word = F.when(near.rlike(p), j + 1).otherwise(word)
-            ok = F.when(d.rlike("^[0-9]{13,19}$"), luhn(d).cast("int")).otherwise(0)
-            f = [F.lit(k), _bin(n, [7, 9, 11, 13, 16, 17, 20]), _bin(F.length(s["hit"]) - n, [1, 2, 4, 8]), ok, side(lead), side(tail), word, F.startswith(s["hit"], F.lit("+")).cast("int"), _bin(F.size(F.split(s["hit"], "[^0-9]+")), [2, 3, 4, 5])]
-            inside = lambda b: (b["start"] >= s["start"]) & (b["end"] <= s["end"])
-            label = F.exists("email", inside) | F.exists("card", inside) | F.exists("phone", inside) | F.exists("ip", inside)
-            return F.struct(F.lit(GENERATORS[k]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.array(*[x.cast("int") for x in f]).alias("f"), label.cast("int").alias("y"))
+            first = lambda value, patterns: F.coalesce(*[F.when(value.rlike(p), F.lit(j + 1)) for j, p in enumerate(patterns)], F.lit(0))
+            none = F.lit(0)
+            if name == "number":
+                fits, form, ends = F.when(d.rlike("^[0-9]{13,19}$"), luhn(d).cast("int")).otherwise(0), first(hit, FORMS), none
+            elif name == "code":
+                fits, form, ends = (mod97(F.translate(hit, " ", "")) == 1).cast("int"), none, none
+            else:
+                fits, form, ends = none, none, hit.rlike("(\\.|\\(dot\\)|\\[dot\\])\\x20?[A-Za-z]{2,}$").cast("int")
+            f = [F.lit(k), _bin(n, [7, 9, 10, 11, 13, 16, 17, 20]), _bin(F.length(hit) - n, [1, 2, 3, 4, 8]), fits, form, ends, side(lead), side(tail), first(near, CONTEXT), F.startswith(hit, F.lit("+")).cast("int")]
+            return F.struct(F.lit(name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.array(*[x.cast("int") for x in f]).alias("f"))
 
         return F.transform(name, item)
 
@@ -104,7 +109,7 @@ def add_candidates(df: DataFrame, text: str = "text") -> DataFrame:
 class Boosted:
     """Gradient-boosted depth-2 trees for logistic loss on weighted cells of binned features."""
 
-    def __init__(self, x: np.ndarray, pos: np.ndarray, neg: np.ndarray, trees: int = 20, rate: float = 0.3, precision: float = 0.98):
+    def __init__(self, x: np.ndarray, pos: np.ndarray, neg: np.ndarray, trees: int = 40, rate: float = 0.3, precision: float = 0.98):
         self.trees, self.base = [], float(np.log((pos.sum() + 1) / (neg.sum() + 1)))
         score, n = np.full(len(x), self.base), pos + neg
         for _ in range(trees if len(x) else 0):
@@ -123,11 +128,26 @@ class Boosted:
                 for m, v in zip(cells, values):
                     score[m] += v
             self.trees.append((f, c, leaves))
-        # Least score from which up the share of positives stays at the asked precision.
-        order = np.argsort(-score, kind="stable")
-        share = np.cumsum(pos[order]) / np.maximum(np.cumsum(n[order]), 1)
-        good = np.nonzero(share >= precision)[0]
-        self.threshold = float(score[order[good[-1]]]) if len(good) else float("inf")
+        self.precision = precision
+        self.threshold = self.least_score(x, pos, neg)
+
+    def values(self, x: np.ndarray) -> np.ndarray:
+        """The sum of the trees for rows of binned features."""
+        out = np.full(len(x), self.base)
+        for f, c, leaves in self.trees:
+            for side, (inner, values) in zip((x[:, f] >= c, x[:, f] < c), leaves):
+                cells = [side] if inner is None else [side & (x[:, inner[0]] >= inner[1]), side & (x[:, inner[0]] < inner[1])]
+                for m, v in zip(cells, values):
+                    out[m] += v
+        return out
+
+    def least_score(self, x: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> float:
+        """Least score of these rows from which up the share of positives stays at the asked precision; infinite if there is none."""
+        score = self.values(x)
+        cuts, at = np.unique(-score, return_inverse=True)  # rows of one score are taken or left together
+        p, n = np.bincount(at, pos, len(cuts)), np.bincount(at, pos + neg, len(cuts))
+        good = np.nonzero((np.cumsum(p) / np.maximum(np.cumsum(n), 1) >= self.precision) & (np.cumsum(n) > 0))[0]
+        return float(-cuts[good[-1]]) if len(good) else float("inf")
 
     @staticmethod
     def _split(x: np.ndarray, g: np.ndarray, h: np.ndarray, own: np.ndarray) -> tuple[int, int] | None:
@@ -151,31 +171,55 @@ class Boosted:
         return total
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple | list = ()) -> DataFrame:
+@functools.lru_cache(4)
+def _fitted(rows: int, precision: float) -> tuple[Boosted, dict[str, float]]:
+    """The trees and each kind's threshold, from the labelled samples of the active session; one fit a process."""
+    spark = SparkSession.active()
+    seen = add_candidates(samples(spark, rows)).select("id", "start", "end", "y", F.explode("cands").alias("c"))
+    held = F.pmod(F.xxhash64("id", F.lit(0)), F.lit(2)).alias("held")
+    # A look-alike's parts are none either; a part of an identifier is no example.
+    whole = (F.col("y") == 0) | ((F.col("c.start") <= F.col("start")) & (F.col("c.end") >= F.col("end")))
+    cells = seen.where(whole).groupBy(held, F.col("c.f").alias("f")).agg(F.sum("y").alias("pos"), F.count("*").alias("n")).collect()  # bounded by the bins
+    cells.sort(key=lambda r: (r["held"], r["f"]))
+
+    def part(held: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own = [r for r in cells if r["held"] == held]
+        pos = np.array([r["pos"] for r in own], float)
+        return np.array([r["f"] for r in own], int).reshape(-1, len(FEATURES)), pos, np.array([r["n"] for r in own], float) - pos
+
+    model, (x, pos, neg) = Boosted(*part(0), precision=precision), part(1)
+    of = lambda k: x[:, 0] == k
+    return model, {name: model.least_score(x[of(k)], pos[of(k)], neg[of(k)]) for k, name in enumerate(GENERATORS)}
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple | list = (), rows: int = SAMPLES, precision: float = 0.98) -> DataFrame:
     """Personal data in every text: base spans by kind, and spans the trees add.
 
     Returns one row per input row: doc_id, a column for each base kind (start, end, hit), ``added``
     (kind, start, end) and the columns asked for in ``keep`` (``text`` comes with them). Null texts count as empty; rows do not
     depend on ids, so null and repeated ids pass through. Spans are in code points, end exclusive. An
-    added span that holds a base span whole gives way to it.
+    added span never overlaps a base span; added spans may overlap each other. ``rows`` labelled samples
+    train the trees, and ``precision`` is what each kind's threshold keeps on the half held out.
     """
     scratch = Scratch(docs.sparkSession, "pii")
+    model, least = _fitted(rows, precision)
     held = [F.col(c).alias(f"_keep_{k}") for k, c in enumerate(keep)]
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *held)
     held = ["text", *(f"_keep_{k}" for k in range(len(keep)))] if keep else []
-    wide = add_candidates(find_base(own)).select("doc_id", *held, *BASE, "cands")
-    wide = scratch.put(wide, "wide")
-    cells = wide.select(F.explode("cands").alias("c")).groupBy("c.f").agg(F.sum("c.y").alias("pos"), F.count("*").alias("n")).collect()  # bounded by the bins
-    x = np.array([r["f"] for r in cells], int).reshape(-1, len(FEATURES))
-    pos = np.array([r["pos"] for r in cells], float)
-    model = Boosted(x, pos, np.array([r["n"] for r in cells], float) - pos)
-    if np.isfinite(model.threshold):
-        chosen = F.filter("cands", lambda c: (c["y"] == 0) & (model.score(c["f"]) >= model.threshold))
-        added = F.transform(chosen, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
-        added = F.when(F.size("cands") > 0, added).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int>>"))
-    else:
-        added = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    return wide.select("doc_id", *held, *BASE, added.alias("added"))
+    # Written, so that what is found is worked out once.
+    wide = scratch.put(add_candidates(find_base(own)).select("doc_id", *held, *BASE, "cands"), "wide")
+    apart = lambda c: (F.forall(k, lambda b: (b["end"] <= c["start"]) | (b["start"] >= c["end"])) for k in BASE)
+    finite = {k: v for k, v in least.items() if np.isfinite(v)}
+    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+    if not finite:
+        return wide.select("doc_id", *held, *BASE, none.alias("added"))
+
+    def chosen(c: Column) -> Column:
+        bar = F.coalesce(*[F.when(c["kind"] == k, F.lit(v)) for k, v in finite.items()], F.lit(float("inf")))
+        return functools.reduce(lambda x, y: x & y, apart(c), model.score(c["f"]) >= bar)
+
+    added = F.transform(F.filter("cands", chosen), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
+    return wide.select("doc_id", *held, *BASE, F.when(F.size("cands") > 0, added).otherwise(none).alias("added"))
 
 
 def all_spans() -> Column:

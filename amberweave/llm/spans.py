@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<start:int,end:int,hit:string>>"
+#: Matches of a text that are placed at a time.
+RUN = 256
 
 
 def add_matches(df: DataFrame, text: str, name: str, pattern: str, keep: Callable[[Column], Column] | None = None, gate: Column | None = None) -> DataFrame:
@@ -32,13 +34,22 @@ def add_matches(df: DataFrame, text: str, name: str, pattern: str, keep: Callabl
         more = F.concat(state["out"], item)
         return F.struct(end.alias("at"), (F.when(keep(pair["hit"]), more).otherwise(state["out"]) if keep else more).alias("out"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    empty = F.array().cast(SPAN)
+
+    def by_run(state: Column, run: Column) -> Column:
+        """One run of pairs after another: appending copies a run's spans or the list of runs, never all spans."""
+        own = F.aggregate(run, F.struct(state["at"].alias("at"), empty.alias("out")), step)
+        return F.transform(F.array(own), lambda o: F.struct(o["at"].alias("at"), F.concat(state["out"], F.array(o["out"])).alias("out")))[0]
+
     pairs = F.zip_with(gaps, F.col(f"{name}_hits"), lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
     pairs = F.filter(pairs, lambda p: p["hit"].isNotNull())
+    runs = lambda ps: F.transform(F.sequence(F.lit(0), F.floor((F.size(ps) - 1) / RUN).cast("int")), lambda k: F.slice(ps, k * RUN + 1, F.lit(RUN)))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    placed = F.transform(F.array(pairs), lambda ps: F.flatten(F.aggregate(runs(ps), zero, by_run)["out"]))[0]
     some = F.size(f"{name}_hits") > 0
     if keep:  # most texts have no match worth placing
         some = some & F.exists(f"{name}_hits", keep)
-    spans = F.when(some, F.aggregate(pairs, zero, step)["out"]).otherwise(F.array().cast(SPAN))
+    spans = F.when(some, placed).otherwise(empty)
     return df.withColumn(name, spans).drop(f"{name}_hits")
 
 
