@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows of two or three longs; a broadcast of more is never asked for (about 8 MB).
 BROADCAST_ROWS = 200_000
+#: The same for rows of one long.
+LONGS = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
