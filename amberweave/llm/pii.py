@@ -175,7 +175,11 @@ class Boosted:
 def _fitted(rows: int, precision: float) -> tuple[Boosted, dict[str, float]]:
     """The trees and each kind's threshold, from the labelled samples of the active session; one fit a process."""
     spark = SparkSession.active()
-    seen = add_candidates(samples(spark, rows)).select("id", "start", "end", "y", F.explode("cands").alias("c"))
+    # Written, so that neither a text nor its candidates are worked out again for each use.
+    scratch = Scratch(spark, "pii_samples")
+    made = scratch.put(samples(spark, rows), "samples")
+    seen = scratch.put(add_candidates(made).select("id", "start", "end", "y", "cands"), "cands")
+    seen = seen.select("id", "start", "end", "y", F.explode("cands").alias("c"))
     held = F.pmod(F.xxhash64("id", F.lit(0)), F.lit(2)).alias("held")
     # A look-alike's parts are none either; a part of an identifier is no example.
     whole = (F.col("y") == 0) | ((F.col("c.start") <= F.col("start")) & (F.col("c.end") >= F.col("end")))
