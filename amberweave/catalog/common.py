@@ -109,6 +109,8 @@ SAL = PAIRS + ", " + ACT + """, st AS (SELECT from_page_id AS page_id, sum(weigh
 sal AS (SELECT p_partkey AS page_id, round(0.5 * coalesce(h, 0) + 0.3 * CASE WHEN last_query_at IS NULL THEN 0 ELSE exp(-ln(2) * greatest(0, epoch(now.ts) - epoch(last_query_at)) / 604800) END
   + 0.2 * coalesce(query_hit_count, 0), 6) AS salience, community_id
   FROM part LEFT JOIN st ON st.page_id = p_partkey LEFT JOIN act ON act.page_id = p_partkey, now)"""
-#: Similarity lists of all vectors: cosine 0.3 and up, at most 8 each.
+#: Most neighbours of a page in a graph of all vectors.
+DEGREE = "(SELECT least(32, greatest(1, ceil(0.5 * sqrt(count(*) * log2(1 + count(*)))))) FROM e)"
+#: Similarity lists of all vectors: cosine 0.3 and up, at most the degree each.
 NB = E + """, nb AS (SELECT a.vec_id AS page_id, b.vec_id AS neighbor_id, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM e a JOIN e b ON a.vec_id != b.vec_id),
-fwd AS (SELECT *, round(1 - similarity, 6) AS distance, row_number() OVER (PARTITION BY page_id ORDER BY similarity DESC, neighbor_id) AS rank FROM nb WHERE similarity >= 0.3 QUALIFY rank <= 8)"""
+fwd AS (SELECT *, round(1 - similarity, 6) AS distance, row_number() OVER (PARTITION BY page_id ORDER BY similarity DESC, neighbor_id) AS rank FROM nb WHERE similarity >= 0.3 QUALIFY rank <= """ + DEGREE + ")"

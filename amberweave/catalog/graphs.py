@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import policy
 from ..functions.vectors import nearest
 from ..operators import graph
 from ..operators import maintenance as m
@@ -86,9 +87,10 @@ def strengthen_edges(spark, d):
 
 
 @query(f"""WITH {PAIRS}, x AS (SELECT from_page_id, to_page_id, weight * 0.99 AS weight FROM edges WHERE weight * 0.99 >= 0.01)
-SELECT from_page_id, to_page_id, round(weight, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY from_page_id ORDER BY weight DESC, to_page_id) AS k FROM x) WHERE k <= 12""")
+SELECT from_page_id, to_page_id, round(weight, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY from_page_id ORDER BY weight DESC, to_page_id) AS k FROM x) WHERE k <= (SELECT least(32, greatest(1, ceil(0.5 * sqrt(count(*) * log2(1 + count(*)))))) FROM part)""")
 def decay_edges(spark, d):
-    return m.decay(part_edges(spark, d), 12).select("from_page_id", "to_page_id", F.round("weight", 6).alias("weight"))
+    parts = read(spark, d, "part").select(F.col("p_partkey").alias("page_id"))
+    return m.decay(part_edges(spark, d), policy.neighbor_degree(parts.count()), pages=parts).select("from_page_id", "to_page_id", F.round("weight", 6).alias("weight"))
 
 
 @query(f"WITH {PAIRS} SELECT from_page_id, to_page_id, weight, row_number() OVER (PARTITION BY from_page_id ORDER BY weight DESC, to_page_id) AS rank FROM edges QUALIFY rank <= 5")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import policy
 from ..operators import hierarchy as h
 from ..operators import maintenance as m
 from ..operators import neighbors as nb
 from ..operators import store
-from .common import BOOKS, E, NB, PG, SHELVES, VOLUMES, pages, query, read, tree, vectors
+from .common import BOOKS, DEGREE, E, NB, PG, SHELVES, VOLUMES, pages, query, read, tree, vectors
 
 
 @query(f"WITH {BOOKS} SELECT doc, book_no, book_id, len(page_ids)::BIGINT AS n_pages, medoid_page_id FROM books")
@@ -69,7 +70,7 @@ def vector_offsets(spark, d):
 
 def _forward(spark, d):
     v = vectors(spark, d).select("id", "v")
-    return nb.forward(v, v, 8, 0.7)
+    return nb.forward(v, v, policy.neighbor_degree(v.count()), 0.7)
 
 
 @query(f"WITH {NB} SELECT page_id, neighbor_id, similarity, distance, rank FROM fwd")
@@ -78,10 +79,10 @@ def neighbors_forward(spark, d):
 
 
 @query(f"""WITH {NB}, m AS (SELECT page_id, neighbor_id, similarity FROM fwd UNION SELECT neighbor_id, page_id, similarity FROM fwd)
-SELECT page_id, neighbor_id, similarity, row_number() OVER (PARTITION BY page_id ORDER BY similarity DESC, neighbor_id) AS rank FROM m QUALIFY rank <= 8""")
+SELECT page_id, neighbor_id, similarity, row_number() OVER (PARTITION BY page_id ORDER BY similarity DESC, neighbor_id) AS rank FROM m QUALIFY rank <= {DEGREE}""")
 def neighbors_merged(spark, d):
     none = spark.createDataFrame([], "page_id long, neighbor_id long, similarity double")
-    return nb.merge(none, _forward(spark, d), 8).withColumn("rank", F.col("rank").cast("long"))
+    return nb.merge(none, _forward(spark, d), policy.neighbor_degree(vectors(spark, d).count())).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"WITH {VOLUMES} SELECT DISTINCT volume_id FROM e JOIN (SELECT book_id, unnest(page_ids) AS page_id FROM books) USING (page_id) JOIN (SELECT volume_id, unnest(book_ids) AS book_id FROM volumes) USING (book_id) WHERE vec_id % 20 = 0")
@@ -96,11 +97,11 @@ z AS (SELECT volume_id, sum(count(*) * (count(*) - 1)) OVER (ORDER BY volume_id)
 run AS (SELECT volume_id FROM z WHERE pairs <= greatest(2048, (SELECT ceil(0.5 * sqrt(count(*) * log2(1 + count(*)))) FROM e)))
 SELECT a.volume_id, a.page_id, b.page_id AS neighbor_id, round(list_cosine_similarity(a.v, b.v), 6) AS similarity, round(1 - round(list_cosine_similarity(a.v, b.v), 6), 6) AS distance,
   row_number() OVER (PARTITION BY a.page_id ORDER BY round(list_cosine_similarity(a.v, b.v), 6) DESC, b.page_id) AS rank
-FROM vpg a JOIN vpg b ON a.volume_id = b.volume_id AND a.page_id != b.page_id WHERE a.volume_id IN (SELECT volume_id FROM run) QUALIFY rank <= 12""")
+FROM vpg a JOIN vpg b ON a.volume_id = b.volume_id AND a.page_id != b.page_id WHERE a.volume_id IN (SELECT volume_id FROM run) QUALIFY rank <= {DEGREE}""")
 def neighbor_recalc(spark, d):
     t = tree(spark, d)
     vp = t["volume_books"].join(t["book_pages"], "book_id").join(t["pages"].select("page_id", "v"), "page_id")
-    out = nb.recalc(vp, t["volumes"].select("volume_id"), vectors(spark, d).count(), 12)
+    out = nb.recalc(vp, t["volumes"].select("volume_id"), vectors(spark, d).count())
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -149,3 +150,11 @@ def cascade_delete(spark, d):
     gone = t["volumes"].agg(F.min("volume_id").alias("volume_id"))
     out = store.cascade_delete_volume(t["volumes"], t["shelf_volumes"], t["volume_books"], gone)
     return out["volumes"].select("volume_id", F.lit("volumes").alias("source")).unionByName(out["shelf_volumes"].select("volume_id", F.lit("shelves").alias("source")))
+
+
+@query(f"""WITH {E}, s AS (SELECT a.page_id, b.page_id AS neighbor_id, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM e a JOIN e b ON a.page_id != b.page_id)
+SELECT page_id, neighbor_id, similarity, round(1 - similarity, 6) AS distance, row_number() OVER (PARTITION BY page_id ORDER BY similarity DESC, neighbor_id) AS rank FROM s WHERE similarity >= 0.3 QUALIFY rank <= {DEGREE}""")
+def page_neighbors(spark, d):
+    """The similarity graph by page id, as ingest makes it."""
+    v = vectors(spark, d).select(F.col("page_id").alias("id"), "v")
+    return nb.forward(v, v, policy.neighbor_degree(v.count()), 0.7).withColumn("rank", F.col("rank").cast("long"))

@@ -93,9 +93,13 @@ def pii_eligible(spark, d):
     return read(spark, d, "documents").where(tx.eligibility(F.col("text")).isNull()).select("doc_id")
 
 
-@query()
+INGEST = CHUNKS.replace("count(*) AS n_tokens, sha256(string_agg(word, ' ' ORDER BY i, k)) AS page_id FROM x GROUP BY ALL", "string_agg(word, ' ' ORDER BY i, k) AS text FROM x GROUP BY ALL")
+
+
+@query(f"""WITH c AS ({INGEST}), h AS (SELECT doc_id AS doc, pos, text, sha256(text) AS page_id, {HEX.replace("to_hex(k)", "to_hex(0)")} AS h FROM c)
+SELECT doc, pos::BIGINT AS pos, page_id, lag(page_id) OVER w AS prev_page_id, lead(page_id) OVER w AS next_page_id, round(('0x' || substr(h, 1, 2))::INT / 127.5::DOUBLE - 1, 6) AS v0 FROM h WINDOW w AS (PARTITION BY doc ORDER BY pos)""")
 def ingest_pages(spark, d):
-    """Chunk, identify, embed and link all documents (checked against a Python model in the tests)."""
+    """Chunk, identify, embed and link all documents."""
     now = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
     p = ingest.pages_of(read(spark, d, "documents"), BUDGET, now, dim=32)
-    return p.select("doc", "pos", "page_id", "prev_page_id", "next_page_id", F.round(F.col("v")[0], 6).alias("v0"))
+    return p.select("doc", F.col("pos").cast("long").alias("pos"), "page_id", "prev_page_id", "next_page_id", F.round(F.col("v")[0], 6).alias("v0"))

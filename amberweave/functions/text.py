@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,10 @@ RULES = [
     ("pii_identity", r"(?i)\b[-a-zA-Z0-9._%+]+@[a-zA-Z0-9.]+\.[a-zA-Z]{2,}\b"),
     ("pii_health", r"(?i)\b(?:medical[_-]?record|patient[_-]?id|diagnosis|prescription|ICD[-\s]?\d{1,2})\b"),
 ]
+#: What a match of each rule holds, in the order of the rules: one of some words in lower case, or a simpler pattern.
+GATES = [("passw", "key", "token"), ("bearer", "-----begin "), "[0-9]{13}", "[A-Z]{2}[0-9]{2}", "[0-9]{3}[-\\s][0-9]{2}[-\\s][0-9]{4}", ("@",), ("medical", "patient", "diagnosis", "prescription", "icd")]
+#: Sentences that are packed at a time.
+RUN = 64
 #: An ASCII word boundary; Java's own one counts every Unicode letter as a word character.
 BOUNDARY = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
@@ -44,24 +50,34 @@ def chunks(text: Column, budget: int) -> Column:
     """
     if not isinstance(budget, int) or budget <= 0:
         raise ValueError("the token budget must be a positive integer")
-    parts = F.transform(sentences(normalize_space(text)), tokens)
-    empty = F.array().cast("array<string>")
-    zero = F.struct(F.array().cast("array<array<string>>").alias("done"), empty.alias("open"))
+    # A normalised text has single spaces only.
+    parts = F.transform(sentences(normalize_space(text)), lambda s: F.split(s, " "))
+    words = F.array().cast("array<string>")
+    none = F.array().cast("array<array<string>>")
 
-    def step(state: Column, words: Column) -> Column:
+    def step(state: Column, words_of: Column) -> Column:
         flushed = F.when(F.size(state["open"]) > 0, F.concat(state["done"], F.array(state["open"]))).otherwise(state["done"])
-        n = F.size(words)
-        cut = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / budget).cast("int")), lambda i: F.slice(words, i * budget + 1, F.lit(budget)))
-        long = F.struct(F.concat(flushed, cut).alias("done"), empty.alias("open"))
-        fits = F.struct(state["done"].alias("done"), F.concat(state["open"], words).alias("open"))
-        turn = F.struct(flushed.alias("done"), words.alias("open"))
-        return F.when(n == 0, state).when(n > budget, long).when(F.size(state["open"]) + n > budget, turn).otherwise(fits)
+        n = F.size(words_of)
+        cut = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / budget).cast("int")), lambda i: F.slice(words_of, i * budget + 1, F.lit(budget)))
+        long = F.struct(F.concat(flushed, cut).alias("done"), words.alias("open"))
+        fits = F.struct(state["done"].alias("done"), F.concat(state["open"], words_of).alias("open"))
+        turn = F.struct(flushed.alias("done"), words_of.alias("open"))
+        return F.when(n > budget, long).when(F.size(state["open"]) + n > budget, turn).otherwise(fits)
+
+    def by_run(state: Column, run: Column) -> Column:
+        """Chunks of one run of sentences after another, so that appending never copies all chunks."""
+        own = F.aggregate(run, F.struct(none.alias("done"), state["open"].alias("open")), step)
+        return F.transform(F.array(own), lambda o: F.struct(F.concat(state["done"], F.array(o["done"])).alias("done"), o["open"].alias("open")))[0]
+
+    def packed(ss: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(ss) - 1) / RUN).cast("int")), lambda i: F.slice(ss, i * RUN + 1, F.lit(RUN)))
+        return F.aggregate(F.when(F.size(ss) > 0, runs).otherwise(F.array().cast("array<array<array<string>>>")), F.struct(F.array().cast("array<array<array<string>>>").alias("done"), words.alias("open")), by_run, finish)
 
     def finish(state: Column) -> Column:
-        whole = F.when(F.size(state["open"]) > 0, F.concat(state["done"], F.array(state["open"]))).otherwise(state["done"])
+        whole = F.concat(F.flatten(state["done"]), F.when(F.size(state["open"]) > 0, F.array(state["open"])).otherwise(none))
         return F.transform(whole, lambda w: F.array_join(w, " "))
 
-    return F.aggregate(parts, zero, step, finish)
+    return F.transform(F.array(parts), packed)[0]
 
 
 def text_id(text: Column) -> Column:
@@ -90,8 +106,15 @@ def canonical_page(**fields: Column) -> Column:
 
 
 def eligibility(text: Column) -> Column:
-    """Reason that blocks a text from being shared, or null: too short, then the patterns in order."""
+    """Reason that blocks a text from being shared, or null: too short, then the patterns in order.
+
+    A pattern is tried only on texts that hold what each of its matches holds.
+    """
     out = F.lit(None).cast("string")
-    for reason, pattern in reversed(RULES):
-        out = F.when(text.rlike(pattern.replace("\\b", BOUNDARY)), reason).otherwise(out)
-    return F.when(F.length(F.trim(F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", ""))) < MIN_PUBLIC_CHARS, "no_public_interest").otherwise(out)
+    low = F.lower(text)
+    for (reason, pattern), gate in reversed(list(zip(RULES, GATES))):
+        may = text.rlike(gate) if isinstance(gate, str) else functools.reduce(lambda a, b: a | b, (F.contains(low, F.lit(word)) for word in gate))
+        out = F.when(may & text.rlike(pattern.replace("\\b", BOUNDARY)), reason).otherwise(out)
+    bare = SPACE.replace("[", "[^", 1)
+    long = text.rlike(f"(?s){bare}.{{{MIN_PUBLIC_CHARS - 2},}}{bare}")
+    return F.when(text.isNotNull() & ~long, "no_public_interest").otherwise(out)

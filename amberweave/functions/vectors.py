@@ -1,8 +1,7 @@
 """Vector math as columns, and blocked scoring of a query set with numpy.
 
 Columns suit one product per row. A query set against all rows goes through ``nearest``: vectors
-stay where they are, a bounded block of queries travels to them, and each task keeps
-its own best k before anything is shuffled.
+are dealt over the tasks, blocks of queries travel to them, and each task keeps its own best k.
 """
 
 from __future__ import annotations
@@ -15,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that travel with one scan; more go in further blocks.
-QUERY_BLOCK = 2048
+#: Queries and vectors whose products are worked out at a time.
+QUERY_BLOCK, VECTOR_BLOCK = 512, 8192
 
 
 def doubles(v: Column) -> Column:
@@ -97,65 +96,82 @@ def medoid(df: DataFrame, group: list[str], ident: str, vec: str, pos: str) -> D
     return best.select(*group, F.col(f"b.{ident}").alias("medoid"), F.round("b.total", 6).alias("total"), "size")
 
 
-def _scores(block: tuple[np.ndarray, np.ndarray], k: int | None, cutoff: float | None, kind: str, skip_self: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    qid, q = block
-    best_i, best_s = [np.empty((0,), np.int64)] * len(qid), [np.empty((0,))] * len(qid)
-    out = lambda who, ids, s: pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(ids, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "id", "score"])
+def _matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
+    """Rows of a column of number lists, padded or cut to ``dim`` (the longest of them); nulls are zero."""
+    rows = column.to_pylist()
+    dim = max((len(x) for x in rows if x), default=0) if dim is None else dim
+    out = np.zeros((len(rows), dim))
+    for i, x in enumerate(rows):
+        if x:
+            m = min(len(x), dim)
+            out[i, :m] = x[:m]
+    return out
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(v, axis=1)
+    return v / np.where(n > 0, n, 1)[:, None]
+
+
+def _scores(k: int | None, cutoff: float | None, kind: str, skip_self: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scores of the queries of a part against its vectors, which come first and are held; rows are (part, asks, id, v)."""
+    part, held = None, []
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        v = np.zeros((len(ids), q.shape[1]))
-        for i, x in enumerate(batch.column(1).to_pylist()):
-            if x:
-                m = min(len(x), q.shape[1])
-                v[i, :m] = x[:m]
-        if kind == "cosine":
-            n = np.linalg.norm(v, axis=1)
-            v = v / np.where(n > 0, n, 1)[:, None]
-        s = np.round(q @ v.T, 6)
-        ok = np.ones_like(s, bool) if cutoff is None else s >= cutoff
-        if skip_self:
-            ok &= qid[:, None] != ids[None, :]
-        if k is None:
-            a, b = np.nonzero(ok)
-            yield out(qid[a], ids[b], s[a, b])
-            continue
-        for r in range(len(qid)):
-            hit = np.nonzero(ok[r])[0]
-            i, x = np.concatenate([best_i[r], ids[hit]]), np.concatenate([best_s[r], s[r, hit]])
-            order = np.lexsort((i, -x))[:k]
-            best_i[r], best_s[r] = i[order], x[order]
-    if k is not None and len(qid):
-        yield out(np.repeat(qid, [len(x) for x in best_i]), np.concatenate(best_i), np.concatenate(best_s))
+        parts, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+        cuts = np.flatnonzero((np.diff(parts) != 0) | (np.diff(asks.astype(int)) != 0)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(parts)]):
+            if lo == hi:
+                continue
+            own = batch.slice(lo, hi - lo)
+            if parts[lo] != part:
+                part, held = parts[lo], []
+            if not asks[lo]:
+                held.append((own.column(2), own.column(3)))
+            elif held:
+                ids = pa.concat_arrays([i for i, _ in held])
+                for at in range(0, hi - lo, QUERY_BLOCK):
+                    q = own.slice(at, QUERY_BLOCK)
+                    for first in range(0, len(ids), VECTOR_BLOCK):
+                        some = pa.concat_arrays([v for _, v in held]).slice(first, VECTOR_BLOCK)
+                        yield _best(q.column(2), _matrix(q.column(3)), ids.slice(first, VECTOR_BLOCK), some, k, cutoff, kind, skip_self)
+
+
+def _best(qid: pa.Array, q: np.ndarray, ids: pa.Array, vectors: pa.Array, k: int | None, cutoff: float | None, kind: str, skip_self: bool) -> pa.RecordBatch:
+    v = _matrix(vectors, q.shape[1])
+    if kind == "cosine":
+        q, v = _unit(q), _unit(v)
+    s = np.round(q @ v.T, 6)
+    names, asked = (x.to_numpy(zero_copy_only=False) for x in (ids, qid))
+    names, asked = (x.astype(str) if x.dtype == object else x for x in (names, asked))
+    ok = np.ones_like(s, bool) if cutoff is None else s >= cutoff
+    if skip_self:
+        ok &= asked[:, None] != names[None, :]
+    if k is not None and k < s.shape[1]:  # rows under the k-th best score are out; ties go on
+        kept = np.where(ok, s, -np.inf)
+        ok &= s >= -np.partition(-kept, k - 1, axis=1)[:, k - 1 : k]
+    a, b = np.nonzero(ok)
+    if k is not None:
+        order = np.lexsort((names[b], -s[a, b], a))
+        a, b = a[order], b[order]
+        rank = np.arange(len(a)) - np.searchsorted(a, a)
+        a, b = a[rank < k], b[rank < k]
+    return pa.RecordBatch.from_arrays([qid.take(pa.array(a)), ids.take(pa.array(b)), pa.array(s[a, b])], names=["query_id", "id", "score"])
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int | None = 10, cutoff: float | None = None, kind: str = "cosine", skip_self: bool = False, ident: str = "id", vec: str = "v") -> DataFrame:
     """(query_id, id, score, rank): rows of best score for each query, score rounded to 6 and ties by id.
 
-    ``k`` None keeps every row at or over ``cutoff``. Queries are read in blocks of QUERY_BLOCK, each one
-    scan of the vectors; per query and task at most k rows are shuffled.
+    Ids are numbers (as long) or text. ``k`` None keeps every row at or over ``cutoff``. Vectors are dealt by id over as many parts as
+    there are shuffle partitions and held there, once; every query goes to each part, in blocks, and of a part at most k
+    rows a query and block of vectors come back. Nothing passes through the driver. Null ids and null queries are
+    left out; a null vector scores 0.
     """
-    got, block, parts = queries.select(ident, doubles(F.col(vec)).alias("v")).where("v is not null").toLocalIterator(), [], []
-
-    def scan() -> None:
-        dim = max(len(r[1]) for r in block)
-        q = np.zeros((len(block), dim))
-        for i, r in enumerate(block):
-            q[i, : len(r[1])] = r[1]
-        if kind == "cosine":
-            n = np.linalg.norm(q, axis=1)
-            q = q / np.where(n > 0, n, 1)[:, None]
-        args = (np.array([r[0] for r in block], np.int64), q)
-        parts.append(vectors.select(F.col(ident).cast("long"), doubles(F.col(vec))).mapInArrow(functools.partial(_scores, args, k, cutoff, kind, skip_self), "query_id long, id long, score double"))
-
-    for r in got:
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            scan()
-            block = []
-    if block:
-        scan()
-    if not parts:
-        return vectors.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
-    rows = functools.reduce(DataFrame.unionByName, parts)
+    kind_of = "string" if vectors.schema[ident].dataType.typeName() == "string" else "long"
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = lambda df: df.select(F.col(ident).cast(kind_of).alias("id"), doubles(F.col(vec)).alias("v")).where("id is not null")
+    held = own(vectors).select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), F.lit(False).alias("asks"), "id", "v")
+    asked = own(queries).where("v is not null").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.lit(True).alias("asks"), "id", "v")
+    dealt = held.unionByName(asked).repartition(parts, "part").sortWithinPartitions("part", "asks")
+    rows = dealt.mapInArrow(functools.partial(_scores, k, cutoff, kind, skip_self), f"query_id {kind_of}, id {kind_of}, score double")
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
     return ranked if k is None else ranked.where(F.col("rank") <= k)

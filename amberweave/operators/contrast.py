@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, dot, doubles, norm, prefix, suffix
 
-#: The nested sizes a protected boundary steps down through.
-NESTED_DIMS = (32, 64, 128, 256, 512, 768)
-
 
 def probe(candidates: DataFrame, query: list[float], protected: int | None) -> DataFrame:
     """One row: thesis, antithesis, synthesis, knowledge_gap.
@@ -21,26 +18,28 @@ def probe(candidates: DataFrame, query: list[float], protected: int | None) -> D
     protected size or no second candidate there is a gap and no antithesis.
     """
     spark = candidates.sparkSession
-    none = "thesis long, antithesis long, synthesis array<double>, knowledge_gap boolean"
+    kind = candidates.schema["id"].dataType.simpleString()  # page ids are text, others numbers
+    none = f"thesis {kind}, antithesis {kind}, synthesis array<double>, knowledge_gap boolean"
     q = F.array(*[F.lit(float(x)) for x in query])
     c = candidates.select("id", "pos", doubles(F.col("v")).alias("v"))
     thesis = c.groupBy().agg(F.min(F.struct((-F.round(cosine(F.col("v"), q), 9)).alias("s"), "pos", "id", "v")).alias("t")).where("t is not null").select("t.id", "t.v")
     if protected is None:
-        return thesis.select(F.col("id").alias("thesis"), F.lit(None).cast("long").alias("antithesis"), F.lit(None).cast("array<double>").alias("synthesis"), F.lit(True).alias("knowledge_gap"))
+        return thesis.select(F.col("id").alias("thesis"), F.lit(None).cast(kind).alias("antithesis"), F.lit(None).cast("array<double>").alias("synthesis"), F.lit(True).alias("knowledge_gap"))
     t = F.broadcast(thesis.select(F.col("id").alias("t_id"), F.col("v").alias("t_v")))  # one row
     others = c.join(t, F.col("id") != F.col("t_id")).withColumn("f", suffix(F.col("v"), protected))
     others = others.withColumn("away", F.round(-cosine(F.col("f"), suffix(F.col("t_v"), protected)), 9))
-    w = Window.partitionBy(F.lit(0))  # a ranked list is short
-    ranked = others.withColumn("n", F.count("*").over(w)).withColumn("opp", F.sum((F.col("away") >= 0).cast("int")).over(w)).withColumn("k", F.row_number().over(w.orderBy(F.desc("away"), "pos")))
-    pole = ranked.where(F.when(F.col("opp") >= 2, F.col("away") >= 0).otherwise(F.col("k") <= F.greatest(F.lit(1), F.ceil(F.col("n") / 2))))
-    # Where the free set falls back to a ranked half its order is the ranking, else the list's.
-    pole = pole.withColumn("place", F.when(F.col("opp") >= 2, F.col("pos")).otherwise(F.col("k")))
+    # Two counts decide which way the pole is cut; neither way gathers the list in one task's window.
+    n, opposed = others.agg(F.count("*"), F.coalesce(F.sum((F.col("away") >= 0).cast("int")), F.lit(0))).first()
+    if opposed >= 2:
+        pole = others.where("away >= 0").withColumn("place", F.struct(F.lit(0.0).alias("away"), F.col("pos").alias("pos")))
+    else:  # where the free set falls back to a ranked half its order is the ranking, else the list's
+        pole = others.orderBy(F.desc("away"), "pos").limit(max(1, -(-n // 2))).withColumn("place", F.struct((-F.col("away")).alias("away"), F.col("pos").alias("pos")))
     pole = pole.withColumn("_n", norm(F.col("f"))).withColumn("u", F.transform("f", lambda x: F.when(F.col("_n") > 0, x / F.col("_n")).otherwise(0.0)))
     total = pole.select(F.posexplode("u").alias("p", "x")).groupBy("p").agg(F.sum("x").alias("x")).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("sum"))
     best = pole.join(F.broadcast(total)).agg(F.min(F.struct(F.round(-dot(F.col("u"), F.col("sum")), 9).alias("d"), "place", "id", "v", "t_id", "t_v")).alias("b")).where("b is not null").select("b.*")
     mixed = F.concat(prefix(F.col("t_v"), protected), F.zip_with(suffix(F.col("t_v"), protected), suffix(F.col("v"), protected), lambda a, b: (a + b) / 2))
     full = best.select(F.col("t_id").alias("thesis"), F.col("id").alias("antithesis"), mixed.alias("synthesis"), F.lit(False).alias("knowledge_gap"))
-    gap = thesis.join(best.select("t_id"), F.col("id") == F.col("t_id"), "left_anti").select(F.col("id").alias("thesis"), F.lit(None).cast("long").alias("antithesis"), F.lit(None).cast("array<double>").alias("synthesis"), F.lit(True).alias("knowledge_gap"))
+    gap = thesis.join(best.select("t_id"), F.col("id") == F.col("t_id"), "left_anti").select(F.col("id").alias("thesis"), F.lit(None).cast(kind).alias("antithesis"), F.lit(None).cast("array<double>").alias("synthesis"), F.lit(True).alias("knowledge_gap"))
     empty = spark.createDataFrame([(None, None, None, True)], none)
     some = thesis.agg(F.count("*").alias("_n"))
     return full.unionByName(gap).unionByName(empty.join(some, F.col("_n") == 0).drop("_n"))

@@ -21,13 +21,21 @@ def strengthen(edges: DataFrame, traversed: DataFrame, now: Column, gain: float
     return both.select("from_page_id", "to_page_id", weight.alias("weight"), F.when(F.col("_hit"), now).otherwise(F.col("last_updated_at")).alias("last_updated_at"))
 
 
-def decay(edges: DataFrame, max_degree: int, factor: float = LTD, least: float = PRUNE) -> DataFrame:
-    """Decayed weights over the bound, at most ``max_degree`` heaviest out-edges of each page."""
-    own = edges.withColumn("weight", F.col("weight") * factor).where(F.col("weight") >= least)
+def decay(edges: DataFrame, max_degree: int, factor: float = LTD, least: float = PRUNE, pages: DataFrame | None = None) -> DataFrame:
+    """Decayed weights over the bound, at most ``max_degree`` heaviest out-edges of each page; of the ``pages`` (page_id) only, if given."""
+    own = edges if pages is None else edges.join(pages.select(F.col("page_id").alias("from_page_id")).distinct(), "from_page_id", "left_semi")
+    own = own.withColumn("weight", F.col("weight") * factor).where(F.col("weight") >= least)
     w = Window.partitionBy("from_page_id").orderBy(F.desc("weight"), "to_page_id")
     return own.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_degree).drop("rank")
 
 
+def decay_counts(edges: DataFrame, kept: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """One row (decayed, pruned): out-edges of the pages before, and those of them that ``decay`` dropped."""
+    own = edges if pages is None else edges.join(pages.select(F.col("page_id").alias("from_page_id")).distinct(), "from_page_id", "left_semi")
+    after = kept.agg(F.count("*").alias("kept"))
+    return own.agg(F.count("*").alias("decayed")).join(F.broadcast(after)).select("decayed", (F.col("decayed") - F.col("kept")).alias("pruned"))
+
+
 def recompute_volume_prototypes(volume_pages: DataFrame) -> DataFrame:
     """(volume_id, prototype): the mean of all its pages, to be appended to the volume's prototypes."""
     return centroid(volume_pages, ["volume_id"], "v", "prototype")

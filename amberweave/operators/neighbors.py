@@ -51,8 +51,10 @@ def recalc(volume_pages: DataFrame, dirty: DataFrame, mass: int, max_degree: int
     degree = max_degree or policy.neighbor_degree(mass, c)
     own = volume_pages.join(dirty.select("volume_id").distinct(), "volume_id", "left_semi")
     sizes = own.groupBy("volume_id").agg((F.count("*") * (F.count("*") - 1)).alias("pairs"))
-    # A cycle takes few volumes; of the others none can fit once the sum is over the budget.
-    run = sizes.withColumn("sum", F.sum("pairs").over(Window.orderBy("volume_id").rowsBetween(Window.unboundedPreceding, 0))).where(F.col("sum") <= budget)
+    # Volumes without a pair take nothing of the budget; each other takes two of it at least, so a cycle holds at most
+    # half the budget of them, and only those in front are summed up in order.
+    some = sizes.where("pairs > 0").orderBy("volume_id").limit(budget // 2 + 1)
+    run = some.withColumn("sum", F.sum("pairs").over(Window.orderBy("volume_id").rowsBetween(Window.unboundedPreceding, 0))).where(F.col("sum") <= budget)
     own = own.join(run.select("volume_id"), "volume_id", "left_semi")
     a = own.select("volume_id", "page_id", doubles(F.col("v")).alias("v"))
     b = own.select("volume_id", F.col("page_id").alias("neighbor_id"), doubles(F.col("v")).alias("w"))

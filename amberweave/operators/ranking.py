@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, doubles
@@ -43,25 +43,33 @@ def beam_width(n: int) -> int:
     return max(2, -(-n // 2))
 
 
-def beam_route(shelves: DataFrame, volumes: DataFrame, books: DataFrame, pages: DataFrame, shelf_volumes: DataFrame, volume_books: DataFrame, book_pages: DataFrame, query: list[float], k: int) -> DataFrame:
+def beam_route(shelves: DataFrame, volumes: DataFrame, books: DataFrame, pages: DataFrame, shelf_volumes: DataFrame, volume_books: DataFrame, book_pages: DataFrame, query: list[float], k: int, hot: DataFrame | None = None) -> DataFrame:
     """Shelf, volume, book, page: at each level the better half (at least two) opens its children.
 
-    The width follows the number of candidates of the level, so each level is ranked and cut by a window over
-    few rows rather than counted on the driver.
+    With ``hot`` (entity_id, tier) routing starts from the resident shelves only, and each further level is its
+    residents and the children opened above; else all shelves compete. What competes at a level is counted, then its best
+    half is taken.
     """
 
     def half(scored: DataFrame) -> DataFrame:
-        w = Window.partitionBy(F.lit(0))
-        ranked = scored.withColumn("n", F.count("*").over(w)).withColumn("k", F.row_number().over(w.orderBy(F.desc("score"), "id")))
-        return ranked.where(F.col("k") <= F.greatest(F.lit(2), F.ceil(F.col("n") / 2))).select("id")
-
-    s = half(score_prototypes(shelves, query, "shelf_id", "prototypes"))
-    v = shelf_volumes.join(s.select(F.col("id").alias("shelf_id")), "shelf_id").select("volume_id").distinct()
-    v = half(score_prototypes(volumes.join(v, "volume_id", "left_semi"), query, "volume_id", "prototypes"))
-    b = volume_books.join(v.select(F.col("id").alias("volume_id")), "volume_id").select("book_id").distinct()
-    b = half(score(books.join(b, "book_id", "left_semi"), query, "book_id", "medoid_v"))
-    p = book_pages.join(b.select(F.col("id").alias("book_id")), "book_id").select(F.col("page_id").alias("id"))
-    return rank_pages(pages, query, k, p)
+        return pick(scored, beam_width(scored.count())).select("id")
+
+    def level(table: DataFrame, ident: str, tier: str, opened: DataFrame | None) -> DataFrame:
+        if hot is None and opened is None:
+            return table
+        wanted = opened
+        if hot is not None:
+            own = hot.where(F.col("tier") == tier).select(F.col("entity_id").alias(ident))
+            wanted = own if opened is None else opened.unionByName(own)
+        return table.join(wanted.distinct(), ident, "left_semi")
+
+    s = half(score_prototypes(level(shelves, "shelf_id", "shelf", None), query, "shelf_id", "prototypes"))
+    v = shelf_volumes.join(s.select(F.col("id").alias("shelf_id")), "shelf_id").select("volume_id")
+    v = half(score_prototypes(level(volumes, "volume_id", "volume", v), query, "volume_id", "prototypes"))
+    b = volume_books.join(v.select(F.col("id").alias("volume_id")), "volume_id").select("book_id")
+    b = half(score(level(books, "book_id", "book", b), query, "book_id", "medoid_v"))
+    p = book_pages.join(b.select(F.col("id").alias("book_id")), "book_id").select("page_id")
+    return pick(score(level(pages, "page_id", "page", p), query, "page_id", "v"), k)
 
 
 def merge_hot_warm(hot: DataFrame, warm: DataFrame, k: int) -> DataFrame:

@@ -75,6 +75,12 @@ def resolve_profiles(wanted: DataFrame, registry: DataFrame) -> DataFrame:
     return own.select("model_id", F.coalesce("dimension", "_d").alias("dimension"), F.coalesce("context", "_c").alias("context"), *rest)
 
 
+def routing_policy(resolver: ProfileResolver, model_id: str, dimension: int | None = None, context: int | None = None, **overrides) -> tuple[ModelProfile, dict]:
+    """A model's profile and the routing dimensions that follow from it; ``overrides`` go to the routing rule."""
+    profile = resolver.resolve(model_id, dimension, context)
+    return profile, policy.routing_policy(profile.dimension, **overrides)
+
+
 Embedder = Callable[[Column], Column]
 
 

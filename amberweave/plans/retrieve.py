@@ -20,13 +20,24 @@ class Retrieval:
     path: DataFrame
 
 
-def retrieve(pages: DataFrame, hot: DataFrame, neighbors: DataFrame, query: list[float], k: int = 10, protected: int | None = None, mass: int | None = None) -> Retrieval:
-    """``pages`` (page_id, v), ``hot`` (entity_id, tier, ...), ``neighbors`` (page_id, neighbor_id, distance)."""
-    resident = hot.where("tier = 'page'").select(F.col("entity_id").alias("id"))
-    best = ranking.rank_pages(pages, query, k, resident)
+def retrieve(pages: DataFrame, hot: DataFrame, neighbors: DataFrame, query: list[float], k: int = 10, protected: int | None = None, mass: int | None = None, tree: dict[str, DataFrame] | None = None) -> Retrieval:
+    """``pages`` (page_id, v), ``hot`` (entity_id, tier, ...), ``neighbors`` (page_id, neighbor_id, distance).
+
+    ``tree`` holds shelves, volumes, books and their membership tables, as ``ingest.ingest`` returns them: with it the query
+    routes from the resident shelves down, residents of each level joining; without it the resident pages
+    compete alone. Where fewer than ``k`` are found, all pages fill up. Resident books lend their medoids to the probe.
+    """
+    if tree is None:
+        best = ranking.rank_pages(pages, query, k, hot.where("tier = 'page'").select(F.col("entity_id").alias("id")))
+    else:
+        best = ranking.beam_route(tree["shelves"], tree["volumes"], tree["books"], pages, tree["shelf_volumes"], tree["volume_books"], tree["book_pages"], query, k, hot)
     top = ranking.merge_hot_warm(best, ranking.rank_pages(pages, query, k), k)
     found = top.join(pages, top.id == pages.page_id).select("id", "score", "v")
-    listed = found.select("id", (-F.col("score")).alias("pos"), "v")
+    listed = found.select("id", F.lit(1).alias("_late"), (-F.col("score")).alias("_s"), "v")
+    if tree is not None:
+        books = tree["books"].join(hot.where("tier = 'book'").select(F.col("entity_id").alias("book_id")), "book_id", "left_semi")
+        listed = listed.unionByName(books.select(F.col("medoid_page_id").alias("id"), F.lit(0).alias("_late"), F.lit(0.0).alias("_s"), F.col("medoid_v").alias("v")))
+    listed = listed.groupBy("id").agg(F.min(F.struct("_late", "_s")).alias("pos"), F.first("v").alias("v"))
     probe = contrast.probe(listed, query, protected)
     hops = policy.subgraph_bounds(mass if mass is not None else hot.count())[1]
     nodes, edges = graph.bfs(neighbors, top.select("id"), hops)

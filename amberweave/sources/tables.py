@@ -36,8 +36,11 @@ def bootstrap(spark: SparkSession, folder: str) -> None:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder of spark.checkpoint.dir; one of our own where none is set."""
+    """Cut the lineage in the folder of spark.checkpoint.dir; where none is set and all runs on this machine, in one of our own."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="amberweave-"))
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="amberweave-"))
     return df.checkpoint()
