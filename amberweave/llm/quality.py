@@ -97,14 +97,29 @@ class Discriminant:
             low = np.linalg.cholesky(cov)
             prior = np.log((n[k] + 1) / (n.sum() + 2))
             self.parts.append((mean, np.linalg.inv(low).T, prior - np.log(np.diag(low)).sum()))
+        self.temper = 1.0
 
-    def score(self, x: np.ndarray) -> np.ndarray:
+    def margin(self, x: np.ndarray) -> np.ndarray:
+        """Log-density of class 1 less that of class 0."""
         low, high = (const - 0.5 * (((x - mean) @ half) ** 2).sum(axis=1) for mean, half, const in self.parts)
-        return 1 / (1 + np.exp(np.clip((low - high) / TEMPER, -60, 60)))
+        return high - low
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(np.clip(-self.margin(x) / self.temper, -60, 60)))
+
 
+#: Statistics are correlated beyond the model, so a log-density difference counts for less than its face value: it is
+#: divided by that one of these under which the training rows have the least log loss. No score crosses 0.5 by it.
+TEMPERS = (1.0, 2.0, 4.0, 8.0, 16.0)
 
-#: Statistics are correlated beyond the model; a log-density difference counts for less than its face value.
-TEMPER = 4.0
+
+def _losses(model: Discriminant, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(len(TEMPERS))
+    for batch in batches:
+        x = np.array(batch.column("stats").values.to_numpy(zero_copy_only=False), np.float64).reshape(-1, D)
+        away = np.where(batch.column("y").to_numpy() == 1, -1.0, 1.0) * model.margin(x)
+        total += [np.logaddexp(0, away / t).sum() for t in TEMPERS]
+    yield pa.RecordBatch.from_pydict({"at": np.arange(len(TEMPERS)), "v": total})
 
 
 def fit(stats: DataFrame, labels: DataFrame, shrink: float = 0.05, fit_rows: int = FIT_ROWS) -> Discriminant:
@@ -115,12 +130,16 @@ def fit(stats: DataFrame, labels: DataFrame, shrink: float = 0.05, fit_rows: int
     labels = labels.where("y in (0, 1) and doc_id is not null").dropDuplicates(["doc_id"])
     if labels.count() > fit_rows:
         labels = labels.orderBy(F.xxhash64("doc_id")).limit(fit_rows)
-    got = stats.join(labels, "doc_id").select("stats", F.col("y").cast("int")).mapInArrow(_moments, "k long, at long, v double")
+    known = stats.join(labels, "doc_id").select("stats", F.col("y").cast("int"))
+    got = known.mapInArrow(_moments, "k long, at long, v double")
     flat = np.zeros((2, 1 + D + D * D))
     for r in got.groupBy("k", "at").agg(F.sum("v").alias("v")).collect():  # a fixed number of rows
         flat[r["k"], r["at"]] = r["v"]
     n, s, ss = flat[:, 0], flat[:, 1 : 1 + D], flat[:, 1 + D :].reshape(2, D, D)
-    return Discriminant(n, s, ss, shrink)
+    model = Discriminant(n, s, ss, shrink)
+    losses = {r["at"]: r["v"] for r in known.mapInArrow(functools.partial(_losses, model), "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()}  # one row a choice
+    model.temper = TEMPERS[min(losses, key=lambda k: (losses[k], k))] if losses else 1.0
+    return model
 
 
 def _scored(model: Discriminant, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -88,6 +88,28 @@ def test_quality(spark, sf):
     assert sum(r["predicted"] == r["quality"] for r in held) / len(held) > 0.97
 
 
+def test_quality_against_a_plain_discriminant(spark, sf):
+    """Scores from sample covariances, determinants and solved systems instead of the operator's sums and factors."""
+    docs, labels = documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
+    x = {r["doc_id"]: np.array(r["stats"], np.float64) for r in quality.describe(docs).collect()}
+    learn = {r["doc_id"]: r["quality"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1 and r["doc_id"] in x}
+    y = np.array(list(learn.values()))
+    rows = np.array([x[i] for i in learn])
+    density = []
+    for k in (0, 1):
+        own = rows[y == k]
+        cov = np.cov(own.T, bias=True)
+        cov = 0.95 * cov + 0.05 * np.diag(np.diag(cov)) + 5e-3 * np.eye(cov.shape[0])
+        prior = np.log((len(own) + 1) / (len(rows) + 2))
+        density.append(lambda z, m=own.mean(axis=0), c=cov, p=prior: p - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * (z - m) @ np.linalg.solve(c, z - m))
+    margin = {i: density[1](z) - density[0](z) for i, z in x.items()}
+    loss = {t: sum(np.logaddexp(0, -margin[i] / t if q else margin[i] / t) for i, q in learn.items()) for t in quality.TEMPERS}
+    temper = min(loss, key=loss.get)
+    for r in quality.classify(docs, labels).collect():
+        want = 1 / (1 + np.exp(np.clip(-margin[r["doc_id"]] / temper, -60, 60)))
+        assert abs(r["score"] - want) < 1e-6
+
+
 def test_quality_odd(spark, odd, none):
     labels = spark.createDataFrame([(3, 1), (5, 0), (None, 1), (4, None)], "doc_id long, quality int")
     out = quality.classify(odd, labels).collect()
@@ -342,6 +364,26 @@ def test_packing(spark, sf, odd, none):
     assert packing.pack(odd, path).where("start = 0").count() == odd.count() and packing.pack(none, path).count() == 0
 
 
+def test_packed_ids_are_the_librarys(spark, sf):
+    """Ids of whole documents by the tokenizers library, cut at the pieces' places; every id in exactly one piece."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    lib.no_truncation()
+    lib.no_padding()
+    docs = documents(spark, sf).select("doc_id", "text")
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    seen, spans_of = Counter(), {}
+    for r in packing.pack(docs, path).collect():
+        ids = np.array([*lib.encode(text[r["doc_id"]], add_special_tokens=False).ids, 1], "<u4") if r["doc_id"] not in spans_of else spans_of[r["doc_id"]]
+        spans_of[r["doc_id"]] = ids
+        piece = ids[r["start"] : r["start"] + r["length"]]
+        assert len(piece) == r["length"] and zlib.crc32(piece.tobytes()) == r["ids_crc32"] and r["doc_tokens"] == len(ids)
+        seen[r["doc_id"]] += r["length"]
+    assert seen == {i: len(ids) for i, ids in spans_of.items()} and set(seen) == set(text)
+
+
 def test_best_fit_is_best_fit_decreasing():
     rnd = random.Random(2)
     for _ in range(50):
