@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import text_id
 from ..functions.vectors import doubles
 from ..operators import hierarchy as h
+from ..sources.tables import checkpointed
 
 QUERIES, ORACLE = {}, {}
 
@@ -48,12 +49,13 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
     return vectors(spark, folder).select("doc", F.col("vec_id").alias("ord"), "page_id", "v")
 
 
-def tree(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """Books, volumes and shelves over the page vectors, with membership tables."""
+def tree(spark: SparkSession, folder: str, written: bool = False) -> dict[str, DataFrame]:
+    """Books, volumes and shelves over the page vectors, with membership tables; ``written`` once, for queries that read them often."""
+    keep = checkpointed if written else lambda df: df
     p = pages(spark, folder)
-    b = h.books(p)
-    v = h.volumes(b)
-    s = h.shelves(v)
+    b = keep(h.books(p))
+    v = keep(h.volumes(b))
+    s = keep(h.shelves(v))
     return {
         "pages": p, "books": b, "volumes": v.withColumn("prototypes", F.array("prototype")), "shelves": s.withColumn("prototypes", F.array("prototype")),
         "book_pages": b.select("book_id", F.explode("page_ids").alias("page_id")), "volume_books": v.select("volume_id", F.explode("book_ids").alias("book_id")),

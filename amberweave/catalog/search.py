@@ -50,7 +50,7 @@ v1 AS (SELECT * FROM volumes WHERE volume_id IN (SELECT unnest(volume_ids) FROM
 b1 AS (SELECT * FROM books WHERE book_id IN (SELECT unnest(book_ids) FROM volumes WHERE volume_id IN (FROM hv))), {_half("hb", "b1", "mv", "book_id")}
 SELECT page_id AS id, round(list_cosine_similarity(v, w), 6) AS score FROM e, q WHERE page_id IN (SELECT unnest(page_ids) FROM books WHERE book_id IN (FROM hb)) {TOP}""")
 def beam_route(spark, d):
-    t = tree(spark, d)
+    t = tree(spark, d, written=True)
     return ranking.beam_route(t["shelves"], t["volumes"], t["books"], t["pages"], t["shelf_volumes"], t["volume_books"], t["book_pages"], first_vector(spark, d), 10)
 
 
@@ -60,7 +60,7 @@ b1 AS (SELECT * FROM books WHERE book_id IN (SELECT unnest(book_ids) FROM volume
 SELECT page_id AS id, round(list_cosine_similarity(v, w), 6) AS score FROM e, q WHERE page_id IN (SELECT unnest(page_ids) FROM books WHERE book_id IN (FROM hb)) OR vec_id % 20 = 0 {TOP}""")
 def retrieve_pages(spark, d):
     """The whole query by page ids: resident shelves open their children, resident pages join, the best ten are found."""
-    t, v = tree(spark, d), vectors(spark, d)
+    t, v = tree(spark, d, written=True), vectors(spark, d)
     hot = t["shelves"].select(F.col("shelf_id").alias("entity_id"), F.lit("shelf").alias("tier")).unionByName(v.where("vec_id % 20 = 0").select(F.col("page_id").alias("entity_id"), F.lit("page").alias("tier")))
     none = spark.createDataFrame([], "page_id string, neighbor_id string, distance double")
     return retrieve.retrieve(v.select("page_id", "v"), hot, none, first_vector(spark, d), 10, 32, tree=t).pages

@@ -11,9 +11,9 @@ from .common import NB, PAIRS, asked, part_edges, query, read, vectors
 from .hierarchy import _forward
 from .texts import _case
 
-#: Seeds are the query set in id order; two hops, at most 60 pages in visit order.
-MAX_NODES = 60
-EXPAND = f"""{NB}, s0 AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM e WHERE vec_id % 20 = 0),
+#: Seeds are the first vectors of the query set, as a query's best results are few; two hops, at most 50 pages in visit order.
+MAX_NODES, SEEDS = 50, 60
+EXPAND = f"""{NB}, s0 AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM e WHERE vec_id % 20 = 0 AND vec_id < {SEEDS}),
 c1 AS (SELECT neighbor_id AS id, min([place, rank]) AS o FROM fwd JOIN s0 ON page_id = s0.id WHERE neighbor_id NOT IN (SELECT id FROM s0) GROUP BY ALL),
 s1 AS (SELECT id, (SELECT count(*) FROM s0) + row_number() OVER (ORDER BY o) - 1 AS place FROM c1 QUALIFY place < {MAX_NODES}),
 v1 AS (FROM s0 UNION ALL FROM s1),
@@ -25,7 +25,7 @@ visited AS (FROM v1 UNION ALL FROM s2)"""
 def _seeds(spark, d):
     from pyspark.sql import Window
 
-    return asked(spark, d).select("id", (F.row_number().over(Window.orderBy("id")) - 1).alias("pos"))  # a few seeds
+    return asked(spark, d).where(F.col("id") < SEEDS).select("id", (F.row_number().over(Window.orderBy("id")) - 1).alias("pos"))  # a few seeds
 
 
 def _similar_edges(spark, d):

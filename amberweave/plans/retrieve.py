@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import policy
 from ..operators import contrast, graph, ranking
 from ..operators.store import upsert
+from ..sources.tables import checkpointed
 
 
 @dataclass
@@ -32,7 +33,7 @@ def retrieve(pages: DataFrame, hot: DataFrame, neighbors: DataFrame, query: list
     else:
         best = ranking.beam_route(tree["shelves"], tree["volumes"], tree["books"], pages, tree["shelf_volumes"], tree["volume_books"], tree["book_pages"], query, k, hot)
     top = ranking.merge_hot_warm(best, ranking.rank_pages(pages, query, k), k)
-    found = top.join(pages, top.id == pages.page_id).select("id", "score", "v")
+    found = checkpointed(top.join(pages, top.id == pages.page_id).select("id", "score", "v"))  # at most k rows, read many times
     listed = found.select("id", F.lit(1).alias("_late"), (-F.col("score")).alias("_s"), "v")
     if tree is not None:
         books = tree["books"].join(hot.where("tier = 'book'").select(F.col("entity_id").alias("book_id")), "book_id", "left_semi")
@@ -40,7 +41,7 @@ def retrieve(pages: DataFrame, hot: DataFrame, neighbors: DataFrame, query: list
     listed = listed.groupBy("id").agg(F.min(F.struct("_late", "_s")).alias("pos"), F.first("v").alias("v"))
     probe = contrast.probe(listed, query, protected)
     hops = policy.subgraph_bounds(mass if mass is not None else hot.count())[1]
-    nodes, edges = graph.bfs(neighbors, top.select("id"), hops)
+    nodes, edges = graph.bfs(neighbors, found.select("id"), hops)
     return Retrieval(found.select("id", "score"), probe, nodes, graph.greedy_path(nodes, edges))
 
 

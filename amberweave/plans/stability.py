@@ -27,25 +27,22 @@ def _pairs(volumes: DataFrame) -> DataFrame:
 def run(volumes: DataFrame, shelves: DataFrame, book_pages: DataFrame, activity: DataFrame, rounds: int = 50) -> dict[str, DataFrame]:
     """Volumes, shelves, activity and counts after one cycle.
 
-    ``volumes`` is (volume_id, pos, book_ids, prototypes, variance), ``shelves`` (shelf_id, volume_ids, ...), ``book_pages``
+    ``volumes`` is (volume_id, book_ids, prototypes, variance), ``shelves`` (shelf_id, pos, volume_ids, ...), ``book_pages``
     (book_id, page_id), ``activity`` has page_id and community_id. First every volume over the variance
     bound with at least two books is split in halves; then volumes of fewer than two books, the new halves among them, merge
-    with the one that shares most books, in the order of ``pos``. Successors stand at the end of their shelf,
-    and pages of their books get them as community. Parents that are gone leave both tables.
+    with the one that shares most books, shelf by shelf in the order of ``pos`` and of their place there. Successors stand
+    at the end of their shelf, and pages of their books get them as community. Parents that are gone leave both tables; a
+    volume on no shelf takes no part.
     """
-    cols = ["volume_id", "pos", "book_ids", "prototypes", "variance"]
+    cols = ["volume_id", "book_ids", "prototypes", "variance"]
     halves = m.split_volumes(volumes)
-    parts = halves.join(volumes.select(F.col("volume_id").alias("parent_id"), "pos", "prototypes"), "parent_id")
+    parts = halves.join(volumes.select(F.col("volume_id").alias("parent_id"), "prototypes"), "parent_id")
     gone = halves.select(F.col("parent_id").alias("volume_id")).distinct()
-    # Halves stand after all others, as at the end of their shelves.
-    late = F.struct(F.lit(1).alias("late"), F.col("pos"), F.col("half"))
-    early = F.struct(F.lit(0).alias("late"), F.col("pos"), F.lit(0).alias("half"))
-    now = volumes.join(gone, "volume_id", "left_anti").withColumn("pos", early).select(*cols).unionByName(parts.withColumn("pos", late).select(*cols))
-    ranks = now.select("volume_id", "pos").dropDuplicates(["volume_id"])
-    now = now.drop("pos").join(ranks.withColumn("pos", F.col("pos.late") * F.lit(10**12).cast("long") + F.col("pos.pos") * 2 + F.col("pos.half")).select("volume_id", "pos"), "volume_id").select(*cols)
-    now = checkpointed(now)
     replaced = halves.groupBy(F.col("parent_id").alias("old_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("half", "volume_id"))), lambda s: s["volume_id"]).alias("new_ids"))
-    kept = m.replace_in_shelves(shelves, replaced)
+    kept = checkpointed(m.replace_in_shelves(shelves, replaced))
+    turns = kept.select("pos", F.posexplode("volume_ids").alias("place", "volume_id")).groupBy("volume_id").agg(F.min(F.col("pos") * (1 << 20) + F.col("place")).alias("pos"))
+    now = volumes.join(gone, "volume_id", "left_anti").select(*cols).unionByName(parts.select(*cols)).dropDuplicates(["volume_id"])
+    now = checkpointed(now.join(turns, "volume_id"))
     named = halves.select("volume_id", F.explode("book_ids").alias("book_id"))
     labels = m.relabel_communities(activity, named, book_pages)
     merges, open_, made = 0, now, None

@@ -1,13 +1,17 @@
 """Examples and sequential models for the operators SQL does not cover."""
 
+import hashlib
 import random
+import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from amberweave.functions import policy, vectors
 from amberweave.functions import text as tx
 from amberweave.operators import contrast, graph, hotset, maintenance, sharing, store
-from amberweave.plans import crypto, ingest, models, retrieve, scheduler
+from amberweave.plans import crypto, ingest, models, retrieve, scheduler, stability
 from amberweave.sources import tables
 from amberweave.streaming import activity as st
 
@@ -238,3 +242,144 @@ def test_retrieve(spark):
     act = ingest.start_activity(p)
     hits = got.pages
     assert retrieve.record_hits(act, hits, F.to_timestamp(F.lit("2024-02-01"))).where("query_hit_count = 1").count() == 2
+
+
+def test_ingest_to_retrieve_on_page_ids(spark, tmp_path):
+    """Documents through every table to a query that routes from residents; ids are text all the way."""
+    subjects = {"sky": "stars planets moons comets orbit light dark night telescope galaxy", "life": "cells plants leaves roots water soil seeds growth animals forest", "past": "kings wars castles trade ships maps cities letters coins roads"}
+    docs = [(k, ". ".join(" ".join(f"{w}{i % 7}" for w in words.split()[i % 3 :]) for i in range(12)) + ".") for k, words in enumerate(subjects.values())]
+    now = F.to_timestamp(F.lit("2024-01-01"))
+    made = ingest.ingest(spark.createDataFrame(docs, "doc_id long, text string"), 8, now, dim=32, max_distance=1.0)
+    ingest.store(made, str(tmp_path))
+    t = {n: spark.read.parquet(f"{tmp_path}/{n}.parquet") for n in made}
+    pages = t["pages"].orderBy("doc", "pos").collect()
+    assert [p["embedding_offset"] for p in pages] == [4 * 32 * i for i in range(len(pages))] and all(p["embedding_dim"] == 32 for p in pages)
+    for p in pages:
+        assert p["page_id"] == hashlib.sha256(p["content"].encode()).hexdigest()
+        assert p["vector_hash"] == hashlib.sha256(struct.pack("<32f", *p["v"])).hexdigest()
+    ids = {p["page_id"] for p in pages}
+    assert {r["page_id"] for r in t["page_activity"].collect()} == ids == {r["page_id"] for r in t["book_pages"].collect()}
+    v = {p["page_id"]: np.array(p["v"]) for p in pages}
+    degree = policy.neighbor_degree(len(ids))
+    cos = lambda a, b: round(float(v[a] @ v[b] / np.linalg.norm(v[a]) / np.linalg.norm(v[b])), 6)
+    near = {a: sorted(((-cos(a, b), b) for b in ids if b != a and cos(a, b) >= 0), key=lambda x: x)[:degree] for a in ids}
+    want = {(a, b) for a, bs in near.items() for _, b in bs} | {(b, a) for a, bs in near.items() for _, b in bs}
+    listed = {(r["page_id"], r["neighbor_id"]) for r in t["neighbors"].collect()}
+    assert listed <= want and {(a, b) for a, bs in near.items() for _, b in bs[:1]} <= want
+    assert {r["volume_id"] for r in t["flags"].where("needs_recalc").collect()} == {r["volume_id"] for r in t["volumes"].collect()}
+    shelf = t["shelves"].select(F.col("shelf_id").alias("entity_id"), F.lit("shelf").alias("tier"))
+    book = t["books"].limit(1).select(F.col("book_id").alias("entity_id"), F.lit("book").alias("tier"))
+    asked = pages[5]
+    page = spark.createDataFrame([(asked["page_id"], "page")], "entity_id string, tier string")  # the route alone may miss it
+    got = retrieve.retrieve(t["pages"].select("page_id", "v"), shelf.unionByName(book).unionByName(page), t["neighbors"], list(asked["v"]), k=3, protected=8, tree=t)
+    best = got.pages.orderBy(F.desc("score"), "id").collect()
+    assert best[0]["id"] == asked["page_id"] and len(best) == 3
+    probe = got.probe.first()
+    assert probe["thesis"] == asked["page_id"] and not probe["knowledge_gap"] and probe["antithesis"] in ids
+    assert got.path.count() == got.nodes.count() >= 3
+
+
+def test_nearest_by_all_pairs(spark):
+    rnd = np.random.default_rng(4)
+    v = rnd.normal(size=(300, 8))
+    v[7] = v[3]
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    s = np.round(u @ u.T, 6)
+    for name in (str, int):
+        ids = [f"p{i:03d}" if name is str else i for i in range(300)]
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v)] + [(None, v[0].tolist())], f"id {'string' if name is str else 'long'}, v array<double>")
+        got = {}
+        for r in vectors.nearest(df, df.limit(40), 5, 0.1, skip_self=True).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["id"]))
+        for q in range(40):
+            hits = sorted((-s[q, j], ids[j]) for j in range(300) if j != q and s[q, j] >= 0.1)[:5]
+            assert [i for _, i in sorted(got.get(ids[q], []))] == [i for _, i in hits]
+    assert vectors.nearest(df, df.limit(0)).count() == 0
+
+
+def stable_cycle(volumes, shelves):
+    """The cycle one volume after another: (volumes as sets of books, shelves as lists of those)."""
+    held = {v[0]: list(v[1]) for v in volumes}
+    spread = {v[0]: v[3] for v in volumes}
+    rows = {k: list(ids) for k, ids in shelves}
+    replace = lambda old, new: [ids.__setitem__(slice(None), [x for x in ids if x != old] + new) for ids in rows.values() if old in ids]
+    for v in [v[0] for v in volumes]:
+        if spread[v] > 0.5 and len(held[v]) >= 2:
+            b = held.pop(v)
+            half = -(-len(b) // 2)
+            new = [("split", v, 0), ("split", v, 1)]
+            held[new[0]], held[new[1]] = b[:half], b[half:]
+            replace(v, new)
+    order, merged = [v for ids in rows.values() for v in ids], set()
+    for v in order:
+        if len(held.get(v, [0, 0])) >= 2 or v in merged:
+            continue
+        best = None
+        for w in order:
+            if w != v and w not in merged:
+                n = len(set(held[w]) & set(held[v]))
+                if n and (best is None or n > best[0]):
+                    best = (n, w)
+        if best is None:
+            continue
+        w = best[1]
+        held["merge", w, v] = list(dict.fromkeys([*held[w], *held[v]]))
+        merged |= {v, w}
+        replace(v, [("merge", w, v)])
+        replace(w, [])
+    return sorted(sorted(b) for k, b in held.items() if k not in merged), rows, held
+
+
+def test_stability_cycle(spark):
+    rnd = random.Random(6)
+    books = [f"b{i}" for i in range(14)]
+    for trial in range(3):
+        volumes = []
+        for i in range(18):  # ids of halves are digests of their books, so those are held by one volume alone
+            wide = rnd.random() < 0.3
+            own = [f"u{i}{j}" for j in range(rnd.choice([2, 3]))] if wide else rnd.sample(books, rnd.choice([1, 1, 2, 3]))
+            volumes.append((f"v{i:02d}", own, [[1.0]], 0.9 if wide else 0.1))
+        shelves = [(f"s{2 - k}", k, [v[0] for v in volumes[k * 6 : k * 6 + 6]]) for k in range(3)]
+        want, rows, held = stable_cycle(volumes, [(i, ids) for i, _, ids in shelves])
+        vdf = spark.createDataFrame(volumes, "volume_id string, book_ids array<string>, prototypes array<array<double>>, variance double")
+        sdf = spark.createDataFrame(shelves, "shelf_id string, pos long, volume_ids array<string>")
+        every = {b for v in volumes for b in v[1]}
+        pages = spark.createDataFrame([(b, "p" + b) for b in every], "book_id string, page_id string")
+        act = spark.createDataFrame([("p" + b, "old") for b in every], "page_id string, community_id string")
+        out = stability.run(vdf, sdf, pages, act)
+        got = {r["volume_id"]: r["book_ids"] for r in out["volumes"].collect()}
+        assert sorted(sorted(b) for b in got.values()) == want
+        for r in out["shelves"].collect():
+            assert sorted(sorted(got[i]) for i in r["volume_ids"]) == sorted(sorted(held[i]) for i in rows[r["shelf_id"]])
+        counts = out["counts"].first()
+        assert counts["splits"] == sum(v[3] > 0.5 for v in volumes) and counts["merges"] == sum(k[0] == "merge" for k in held if isinstance(k, tuple))
+        changed = {r["page_id"] for r in out["activity"].where("community_id != 'old'").collect()}
+        touched = {"p" + b for k, bs in held.items() if isinstance(k, tuple) for b in bs}
+        assert changed == touched
+
+
+def test_decay_counts_and_routing(spark):
+    edges = spark.createDataFrame([("a", "b", 0.5, None), ("a", "c", 0.0101, None), ("x", "b", 0.9, None)], "from_page_id string, to_page_id string, weight double, last_updated_at timestamp")
+    pages = spark.createDataFrame([("a",)], "page_id string")
+    kept = maintenance.decay(edges, 32, pages=pages)
+    assert [(r["from_page_id"], r["to_page_id"]) for r in kept.collect()] == [("a", "b")]
+    assert tuple(maintenance.decay_counts(edges, kept, pages).first()) == (2, 1)
+    profile, routing = models.routing_policy(models.builtin(), "builtin-768")
+    assert profile.dimension == 768 and routing["broad"]["dim_out"] == 96 and routing["narrow"]["offset"] == 768 * (96 + 192)
+
+
+def test_slice_travels(spark):
+    """An exported slice as one message, and back: the receiver's valid pages carry no identity."""
+    texts = ["a public page about stars and planets in the sky", "password: hunter2 is not for sharing at all", "another public page about the soil and its plants"]
+    ids = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+    pages = spark.createDataFrame([(i, t, i, 8, "key", "sig") for i, t in zip(ids, texts)], "page_id string, content string, content_hash string, embedding_dim int, creator_pub_key string, signature string")
+    nb = spark.createDataFrame([(ids[0], ids[1], 0.1, 1), (ids[0], ids[2], 0.2, 2)], "page_id string, neighbor_id string, distance double, rank int")
+    edges = spark.createDataFrame([(ids[0], ids[2], 0.5)], "from_page_id string, to_page_id string, weight double")
+    seeds = spark.createDataFrame([(ids[0], 0)], "id string, pos int")
+    nodes, inner = sharing.export_slice(pages, nb, edges, seeds, "peer-1")
+    message = sharing.slice_message(nodes, inner, "peer-1", "2024-01-01T00:00:00Z").first()
+    assert {n["page_id"] for n in message["nodes"]} == {ids[0], ids[2]} and set(message["provenance"].values()) == {"peer-1"}
+    assert len(message["slice_id"]) == 36 and len(message["edges"]) == 1
+    back = spark.createDataFrame([tuple(n) for n in message["nodes"]], nodes.schema)
+    own, kept, rejects = sharing.import_slice(back, spark.createDataFrame([tuple(e) for e in message["edges"]], inner.schema), verify_hashes=True)
+    assert own.count() == 2 and kept.count() == 1 and rejects.count() == 0 and own.where("creator_pub_key != ''").count() == 0
