@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, cut
 from .packing import RARE, byte_chars
 
 #: White space as the vocabulary's normalizer takes it.
@@ -197,7 +197,7 @@ def word_bpe(path: str) -> WordBpe:
 
 def _code(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bpe = word_bpe(path)
-    for batch in batches:
+    for batch in cut(batches):
         n, ids, text = [], [], []
         for t in batch.column(1).to_pylist():
             coded = bpe.encode(t or "")

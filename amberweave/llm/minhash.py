@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, lookup
+from .common import Scratch, cut, lookup
 from .components import components, star_pairs
 
 ROWS, BANDS, MANTISSA = 5, 32, 10
@@ -105,7 +105,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
 
 
 def _signatures(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in cut(batches):
         texts = batch.column(1).cast(pa.binary()).to_pylist()
         n, klass, regs, keys = [], [], [], []
         for text in texts:
@@ -122,7 +122,7 @@ def _signatures(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
 
 
 def _tokens(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in cut(batches):
         for text in batch.column(0).cast(pa.binary()).to_pylist():
             yield pa.RecordBatch.from_arrays([pa.array(shingles(text or b"", size).astype(np.int64))], names=["token"])
 
@@ -148,7 +148,7 @@ def _confirm(size: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iter
                 held.popitem(last=False)
         return held[doc]
 
-    for batch in batches:
+    for batch in cut(batches):
         keep = []
         for a, b, ta, tb in zip(*(batch.column(k).to_pylist() for k in ("a", "b")), *(batch.column(k).cast(pa.binary()).to_pylist() for k in ("ta", "tb"))):
             x, y = of(a, ta), of(b, tb)
@@ -164,7 +164,7 @@ def _rare_first(size: int, common: np.ndarray, percent: int, batches: Iterator[p
     sets differ in at least as many shingles as their parities differ in bits.
     """
     names = ["id", "n", "token", "at", *(f"p{k}" for k in range(PARITY))]
-    for batch in batches:
+    for batch in cut(batches):
         out = [[] for _ in names]
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
             s = shingles(text or b"", size)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, cut
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long"
 #: Beyond these letters and marks, tables of Unicode classes may differ between the two libraries.
@@ -69,7 +69,7 @@ def _bpe(path: str) -> ByteBpe:
 
 def _cut(path: str, end_id: int, window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, seen, bpe = TaskContext.get().partitionId(), Counter(), _bpe(path)
-    for batch in batches:
+    for batch in cut(batches):
         rows = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             ids = np.append(bpe.ids(text or ""), np.uint32(end_id)).astype("<u4")

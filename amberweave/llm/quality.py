@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, cut
 
 NAMES = [
     "log_words", "log_lines", "word_len", "word_len_sd", "short_words", "long_words", "distinct_words", "distinct_trigrams",
@@ -56,7 +56,7 @@ def statistics(text: bytes) -> np.ndarray:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in cut(batches):
         x = np.array([statistics(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()], np.float32).reshape(-1, D)
         stats = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), D).cast(pa.list_(pa.float32()))
         yield pa.RecordBatch.from_arrays([batch.column(0), stats], names=["doc_id", "stats"])

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions
+from .common import Scratch, cut, partitions
 from .minhash import _mix, _words
 
 #: A difference cover modulo 13; each residue is a difference of two members.
@@ -43,7 +43,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = [[part + k], [words], [np.array(ids, np.int64).tobytes()], [np.array([len(t) for t in texts], np.int64).tobytes()], [zstandard.compress(b"".join(texts), 3)]]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in row], names=["block", "n_words", "ids", "sizes", "texts"])
 
-    for batch in batches:
+    for batch in cut(batches):
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
             text = text or b""
             if held and (len(held) >= BLOCK_DOCS or size + len(text) > BLOCK_BYTES):
@@ -117,7 +117,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def _send_anchors(window: int, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for r in batch.to_pylist():
+        for r in (x for one in cut([batch], 1) for x in one.to_pylist()):
             _, h = _Block(r["ids"], r["sizes"], r["texts"]).anchors(window)
             h, n = np.unique(h, return_counts=True)
             # 31 bits within the range are enough for a filter; the last bit tells of a repeat inside the block.
@@ -185,7 +185,7 @@ def _distinct(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 def _send_windows(window: int, parts: int, wide: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for r in batch.to_pylist():
+        for r in (x for one in cut([batch], 1) for x in one.to_pylist()):
             b = _Block(r["ids"], r["sizes"], r["texts"])
             where = _candidates(b, window, parts, r["answers"])
             if not len(where):
@@ -213,7 +213,7 @@ def _judge_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _cut(window: int, parts: int, wide: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for r in batch.to_pylist():
+        for r in (x for one in cut([batch], 1) for x in one.to_pylist()):
             b = _Block(r["ids"], r["sizes"], r["texts"])
             gone = np.zeros(len(b.hash) + 1, np.int64)
             where = _candidates(b, window, parts, r["answers"])
