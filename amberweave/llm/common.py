@@ -48,8 +48,10 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(at)
 
     def free(self, name: str) -> None:
+        """Delete a table; shuffle files and broadcasts of its jobs go too, which Spark drops once the driver has collected its garbage."""
         p, fs = self._path(f"{self.base}/{name}")
         fs.delete(p, True)
+        self.spark._jvm.System.gc()
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
