@@ -64,8 +64,11 @@ def tree(spark: SparkSession, folder: str, written: bool = False) -> dict[str, D
 
 
 def part_edges(spark: SparkSession, folder: str) -> DataFrame:
-    """Association edges: parts on consecutive lines of an order; 0.1 a traversal."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    """Association edges: parts on consecutive lines of an order; 0.1 a traversal.
+
+    The SQL leaves open which of two lines of one number and part comes last; here it is the one shipped later, so that runs agree.
+    """
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_shipdate")
     pairs = read(spark, folder, "lineitem").select(F.col("l_partkey").alias("from_page_id"), F.lead("l_partkey").over(w).alias("to_page_id"), F.col("l_shipdate").alias("ts"))
     pairs = pairs.where("to_page_id is not null and from_page_id != to_page_id")
     return pairs.groupBy("from_page_id", "to_page_id").agg(F.round(F.count("*") * 0.1, 6).alias("weight"), F.max("ts").alias("last_updated_at"))

@@ -1,5 +1,6 @@
 """Examples and sequential models for the operators SQL does not cover."""
 
+import datetime
 import hashlib
 import random
 import struct
@@ -8,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from amberweave.catalog import common
 from amberweave.functions import policy, vectors
 from amberweave.functions import text as tx
 from amberweave.operators import contrast, graph, hotset, maintenance, sharing, store
@@ -145,6 +147,15 @@ def test_edges(spark):
     assert rows(maintenance.decay(e, 5), "to_page_id") == [("b",)]
 
 
+def test_edges_of_tied_lines(spark, tmp_path):
+    """Lines of one order, number and part: the one shipped later comes last, in whatever order they are stored."""
+    new, old = datetime.datetime(2001, 1, 1), datetime.datetime(1995, 1, 1)
+    lines = [(1, 5, 1, new), (1, 5, 1, old), (1, 7, 2, old)]
+    for k, stored in enumerate((lines, lines[::-1])):
+        spark.createDataFrame(stored, "l_orderkey long, l_partkey long, l_linenumber int, l_shipdate timestamp").coalesce(1).write.parquet(str(tmp_path / f"{k}/lineitem.parquet"))
+        assert rows(common.part_edges(spark, str(tmp_path / str(k))).withColumn("year", F.year("last_updated_at")), "from_page_id", "to_page_id", "year") == [(5, 7, 2001)]
+
+
 def test_probe(spark):
     def run(cands, query, protected):
         df = spark.createDataFrame([(i, i, [float(x) for x in v]) for i, v in cands], "id long, pos long, v array<double>")
