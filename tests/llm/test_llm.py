@@ -572,6 +572,32 @@ def test_all_words_of_long_lines_vote(spark):
     assert got >= {((2 * k, 0), (2 * k + 1, 0)) for k in range(1, 4)}  # and the first pair is of nine and ten words
 
 
+def test_every_block_is_a_key(spark):
+    """Lines keep all their blocks, so the one that two long lines have in common is found, whatever its hash."""
+    rnd, rows = random.Random(14), []
+    word = lambda: "".join(rnd.choice("bcdefghjklm") for _ in range(5))
+    for k in range(40):
+        w = [word() + ("a" if at % 3 == 2 else "b") for at in range(120)]
+        rows.append((2 * k, len(w), " ".join(w)))
+        same = rnd.randrange(2, 36) * 3  # blocks of three words: every one but two neighbours is changed
+        rows.append((2 * k + 1, len(w), " ".join(v if same <= at < same + 6 else v[:-2] + "x" + v[-1] for at, v in enumerate(w))))
+    lines = spark.createDataFrame(rows, "id long, n int, norm string").withColumn("chars", F.length("norm"))
+    keys = {r["id"]: set(r["keys"]) for r in fuzzy_lines._keyed(lines, 0.9, 4).collect()}
+    assert all(len(v) >= 38 for v in keys.values()) and all(keys[2 * k] & keys[2 * k + 1] for k in range(40))
+
+
+def test_few_common_blocks_are_compared_whole(spark):
+    """A letter changed in nearly each block, and a word put in: no block but one is common, and it is still a link."""
+    rnd = random.Random(15)
+    w = ["".join(rnd.choice("bcdefghjklm") for _ in range(11)) + ("a" if at % 2 else "b") for at in range(40)]
+    v = [x if at < 2 or at % 2 else "q" + x[1:] for at, x in enumerate(w)]
+    v = [*v[:30], "word", *v[30:]]
+    a, b = " ".join(w), " ".join(v)
+    assert near_lines(a, b)
+    pairs = spark.createDataFrame([(1, 2, a, b)], "a long, b long, ta string, tb string")
+    assert [tuple(r) for r in fuzzy_lines._similar(pairs, 0.9).collect()] == [(1, 2)]
+
+
 def test_drop_lines_columns(spark):
     """Columns named as the operator's own or as its inputs, a null id, a long document, a repeated one."""
     names = ("gone", "n_lines", "n_dropped", "drop_doc", "line_no", "own", "_gone", "_drop_doc")
