@@ -37,7 +37,7 @@ SIG = "doc_id long, n_shingles long, klass binary, regs binary, bands array<long
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h

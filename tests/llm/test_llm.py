@@ -150,6 +150,13 @@ def test_near_duplicates(spark, sf):
         assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (len(s), root.get(i, i), root.get(i, i) == i)
 
 
+def test_word_hashes_are_kept_within_bounds():
+    """Each Python worker holds its own; what was dropped is worked out again."""
+    held = minhash._Words()
+    seen = {b"w%d" % k: held[b"w%d" % k] for k in range(450_000)}
+    assert len(held) <= 200_001 and all(held[w] == h for w, h in list(seen.items())[::1000])
+
+
 def test_estimate():
     rnd = np.random.default_rng(0)
     for share in (0.3, 0.8, 0.95):
