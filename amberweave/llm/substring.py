@@ -29,7 +29,7 @@ from .minhash import _mix, _words
 #: A difference cover modulo 13; each residue is a difference of two members.
 PERIOD, COVER = 13, (0, 1, 3, 9)
 #: Words or rows a range of hashes should hold, documents and bytes of text in a block.
-RANGE, BLOCK_DOCS, BLOCK_BYTES = 2_000_000, 512, 4_000_000
+RANGE, BLOCK_DOCS, BLOCK_BYTES = 2_000_000, 256, 2_000_000
 BLOCKS = "block long, n_words long, ids binary, sizes binary, texts binary"
 PACKED = "block long, part long, low binary, ids binary, base long"
 
@@ -128,7 +128,7 @@ def _send_anchors(window: int, parts: int, batches: Iterator[pa.RecordBatch]) ->
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     """Rows of one range after another (the partition is sorted by range)."""
     held, part = [], None
-    for batch in batches:
+    for batch in cut(batches, 64):
         for r in batch.to_pylist():
             if held and r["part"] != part:
                 yield held

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -758,6 +759,19 @@ def test_passages(spark, sf, odd, none):
     assert substring.repeated_passages(none).count() == 0
 
 
+def test_ranges_of_hashes_are_read_few_rows_at_a_time():
+    """A batch holds as many rows as Spark puts in one; its hashes are not all held a second time."""
+    rows = [(0, part, np.arange(1 << 15, dtype=np.uint32).tobytes(), b"", 0) for part in range(200)]  # 26 MB
+    batch = substring._rows(rows)
+    tracemalloc.start()
+    try:
+        out = sum(b.num_rows for b in substring._judge_anchors(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert out == 200 and peak < 20e6, (out, peak)
+
+
 def test_windows_whose_first_hash_agrees():
     """Rows of equal first and different second hash are different windows."""
     h, g = np.array([5, 5, 5, 9], np.uint64), np.array([1, 2, 1, 1], np.uint64)
