@@ -545,6 +545,40 @@ def test_one_changed_word_is_found(spark):
     assert not got - want and len(want & got) >= 198
 
 
+def test_pairs_of_many_shared_buckets_are_made_once(spark):
+    rnd = random.Random(17)
+    main = {b: rnd.randrange(4) for b in range(6)}
+    rows = sorted({(rnd.randrange(6), i) for i in range(30) for _ in range(5)})
+    marked = spark.createDataFrame([(b, i, i % 7, i % 4, main[b]) for b, i in rows], "bucket long, id long, tag long, c long, main long")
+    near = lambda x, y: F.abs(x - y) <= 3
+    got = Counter((r["a"], r["b"]) for r in components.pairs_once(marked, near).collect())
+    want = {(i, j) for b, i in rows for e, j in rows if b == e and i < j and i % 4 != j % 4 and abs(i % 7 - j % 7) <= 3}
+    assert set(got) == want and max(got.values()) == 1
+
+
+def test_lines_meet_in_parts(spark, monkeypatch):
+    """Pairs compared a few at a time give the same groups, and neither the keys nor the counts of them stay on disk."""
+    rnd, rows, made = random.Random(19), [], []
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(2, 9)))
+    for k in range(8):
+        w = [word() for _ in range(30)]
+        for i in range(5):
+            rows.append((5 * k + i, " ".join([*w[: 3 * i], word(), *w[3 * i + 1 :]])))
+    docs = spark.createDataFrame(rows, DOCS)
+
+    class Kept(common.Scratch):
+        def __init__(self, *args):
+            super().__init__(*args)
+            made.append(self)
+
+    whole = linked_lines(spark, docs)
+    monkeypatch.setattr(fuzzy_lines, "Scratch", Kept)
+    monkeypatch.setattr(fuzzy_lines, "PAIRS", 1)
+    assert linked_lines(spark, docs) == whole and len(whole) >= 70
+    on_disk = {t: made[0]._path(f"{made[0].base}/{t}") for t in ("held_0", "links_1_1", "wide", "stats_0", "cands_0", "pairs_1", "texts_1")}
+    assert {t for t, (p, fs) in on_disk.items() if fs.exists(p)} == {"held_0", "links_1_1"}
+
+
 def test_one_letter_in_short_lines(spark):
     rnd, rows = random.Random(13), []
     for k in range(60):
