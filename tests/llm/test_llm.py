@@ -556,6 +556,43 @@ def test_pairs_of_many_shared_buckets_are_made_once(spark):
     assert set(got) == want and max(got.values()) == 1
 
 
+def test_pairs_that_share_few_buckets_at_other_places_are_not_made(spark):
+    """Aligned pairs and those of many common buckets come once over all parts; a stretch shared elsewhere makes no pair."""
+    rnd = random.Random(23)
+    rows = {(b, i): rnd.choice([None, *range(0, 90, 3)]) for i in range(24) for b in rnd.sample(range(12), rnd.choice((1, 2, 3, 8)))}
+    tags = {i: 100 + rnd.randrange(8) for _, i in rows}
+    marked = spark.createDataFrame([(b, i, (tags[i], at), i, -1) for (b, i), at in rows.items()], "bucket long, id long, tag struct<chars:int,at:int>, c long, main long")
+    near = lambda x, y: F.abs(x["chars"] - y["chars"]) <= 6
+    got = Counter((r["a"], r["b"]) for k in range(3) for r in components.pairs_once(marked, near, fuzzy_lines._fits(0.9), (k, 3)).collect())
+    fit = lambda i, j, p, q: p is None or q is None or abs(p - q) + abs((tags[i] - p) - (tags[j] - q)) <= int(max(tags[i], tags[j]) * 0.1 + 1e-9)
+    want, all_near = set(), set()
+    for i in range(24):
+        for j in range(i + 1, 24):
+            both = [b for b in range(12) if (b, i) in rows and (b, j) in rows]
+            if both and abs(tags[i] - tags[j]) <= 6:
+                all_near.add((i, j))
+                if len(both) > components.FEW or any(fit(i, j, rows[b, i], rows[b, j]) for b in both):
+                    want.add((i, j))
+    assert set(got) == want and max(got.values()) == 1 and len(want) < 0.8 * len(all_near)
+
+
+def test_places_of_keys(spark):
+    """A key's place is where its stretch begins, by either set of letters; keys that are no stretch have none."""
+    rnd = random.Random(24)
+    norms = [" ".join("".join(rnd.choice("abcdefghinrst") for _ in range(rnd.randrange(2, 8))) for _ in range(n)) for n in (5, 10, 20, 30, 40, 60)]
+    lines = spark.createDataFrame([(k, len(t.split(" ")), t) for k, t in enumerate(norms)], "id long, n int, norm string").withColumn("chars", F.length("norm"))
+    keyed = fuzzy_lines._keyed(lines, 0.9, 4)
+    at = {r["id"]: list(zip(r["keys"], r["places"], strict=True)) for r in keyed.collect()}
+    pieces = {k: [(m.start(), m.group()) for cut in ("aint", "eors") for m in re.finditer(f".+?(?:(?<=[{cut}])(?= )|$)", " " + t)] for k, t in enumerate(norms)}
+    begins = {k: {place for place, _ in ps} for k, ps in pieces.items()}
+    assert all(p is None or p in begins[k] for k, ps in at.items() for _, p in ps)
+    assert all(p is None for _, p in at[0]) and all(any(p is not None for _, p in at[k]) for k in (2, 3, 4, 5))
+    r = next(r for r in keyed.collect() if r["id"] == 5)
+    blocks = re.split("(?<=[aint]) ", norms[5])
+    want = [norms[5].index(f"{a} {b}") for a, b in zip(blocks, blocks[1:], strict=False)]
+    assert r["places"] == want
+
+
 def test_lines_meet_in_parts(spark, monkeypatch):
     """Pairs compared a few at a time give the same groups, and neither the keys nor the counts of them stay on disk."""
     rnd, rows, made = random.Random(19), [], []
