@@ -79,6 +79,14 @@ def test_resolve_finds_links_past_the_leader(spark):
 # --- op1 --------------------------------------------------------------------------------------
 
 
+def test_a_leader_meets_other_components_only(spark):
+    """Ids that are in one component already are not compared again; without components all meet the leader."""
+    rows = [(1, 1, 1), (1, 2, 1), (1, 3, 3), (1, 4, 3), (2, 2, 1), (2, 5, 5), (2, 1, 1)]
+    cands = spark.createDataFrame(rows, "bucket long, id long, c long")
+    assert {tuple(r) for r in components.star_pairs(cands).collect()} == {(1, 3), (1, 4), (1, 5)}
+    assert {tuple(r) for r in components.star_pairs(cands.drop("c")).collect()} == {(1, 2), (1, 3), (1, 4), (1, 5)}
+
+
 def test_quality(spark, sf):
     docs, labels = documents(spark, "/root/testdata/sf0.1"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     out = quality.classify(docs, labels)
