@@ -584,6 +584,32 @@ def test_pairs_that_share_few_buckets_at_other_places_are_not_made(spark):
     assert set(got) == want and max(got.values()) == 1 and len(want) < 0.8 * len(all_near)
 
 
+def test_common_beginnings_and_ends(spark):
+    """Pairs that share all but a stretch are told by that stretch, also where the shared parts overlap or are long."""
+    rnd, rows = random.Random(27), []
+    word = lambda n: "".join(rnd.choice("etaoinshr ") for _ in range(n))
+    for n in (0, 1, 50, 400, 5000):
+        a, b = word(n), word(n)
+        rows += [(f"{a}{x}{b}", f"{a}{y}{b}") for x, y in (("", "x"), ("aa", "aaa"), (word(30), word(30)), (word(60), word(90)), (word(2 * n // 9), word(2 * n // 9)), ("ößж" * 9, word(27)))]
+    rows = [r for r in rows if r[0] != r[1]]
+    pairs = spark.createDataFrame([(k, -1, a, b) for k, (a, b) in enumerate(rows)], "a long, b long, ta string, tb string")
+    begin = {r["a"]: r["k"] for r in pairs.select("a", fuzzy_lines._begin(F.col("ta"), F.col("tb")).alias("k")).collect()}
+    assert all(begin[k] == min(4095, next((i for i, (c, d) in enumerate(zip(a, b, strict=False)) if c != d), min(len(a), len(b)))) for k, (a, b) in enumerate(rows))
+    want = {k for k, (a, b) in enumerate(rows) if near_lines(a, b)}
+    assert {r["a"] for r in fuzzy_lines._similar(pairs, 0.9).collect()} == want and 8 <= len(want) < len(rows) - 8
+
+
+def test_lines_whose_words_end_in_other_letters(spark):
+    """Lines of more than 24 words, none of which ends a block: one changed word left them without a common key."""
+    rnd, rows = random.Random(28), []
+    for k in range(12):
+        w = ["".join(rnd.choice("bcdfghklmp") for _ in range(5)) + rnd.choice("lmeorsdy") for _ in range(26 + 4 * k)]
+        rows.append((2 * k, " ".join(w)))
+        at = rnd.randrange(len(w))
+        rows.append((2 * k + 1, " ".join([*w[:at], w[at][:-2] + "zz", *w[at + 1 :]])))
+    assert linked_lines(spark, spark.createDataFrame(rows, DOCS)) == {((2 * k, 0), (2 * k + 1, 0)) for k in range(12)}
+
+
 def test_places_of_keys(spark):
     """A key's place is where its stretch begins, by either set of letters; keys that are no stretch have none."""
     rnd = random.Random(24)
